@@ -54,6 +54,10 @@ def short_grams(h: Column, n: Column, size: int) -> Column:
     return out
 
 
+def _short_places(h: Column, n: Column, size: int) -> Column:
+    return F.transform(short_grams(h, n, size), lambda g, i: F.struct(F.lit(size).alias("size"), g.alias("f"), i.alias("at"), F.array(g).alias("g")))
+
+
 def windows(benchmark: DataFrame) -> DataFrame:
     """size, f (fingerprint), g (window hash) and items (the item_ids that have it, as strings)."""
     d = grams(benchmark, "item_id")
@@ -82,7 +86,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     long_ones = F.transform(F.filter(place, lambda y: y.f.isNotNull()), lambda y: F.struct(F.lit(WINDOW).alias("size"), y.f.alias("f"), y["at"].alias("at"), y.g.alias("g")))
     each = [F.array(own), long_ones]
     for k in sizes:
-        each.append(F.transform(short_grams(c("h"), c("n"), k), lambda g, i, k=k: F.struct(F.lit(k).alias("size"), g.alias("f"), i.alias("at"), F.array(g).alias("g"))))
+        each.append(_short_places(c("h"), c("n"), k))
     d = d.select("doc_id", "n", F.explode(F.concat(*each)).alias("x"))
     d = d.select("doc_id", "n", "x.*")
     prints = C.join_side(C.materialize(bench.select(c("size").alias("b_size"), c("f").alias("b_f")).distinct(), "benchmark-prints"))

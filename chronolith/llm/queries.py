@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -22,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda m: m.k == kind)).cast("long")
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache of its own for each call, so that every call counts the whole table."""
     counted = token_counts.token_counts(_table(spark, sf_dir, "documents"), _tokenizer(), C.new_path(spark, "token-cache"))
@@ -44,7 +48,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda m, k=k: m.k == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [_of_kind("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
@@ -62,7 +66,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(_table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda m: m.k < 3)
-    counts = [F.size(F.filter("spans", lambda m, k=k: m.k == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
+    counts = [_of_kind("spans", k).alias(f"n_{name}") for k, name in enumerate(secrets.KINDS[:3])]
     return found.select("doc_id", *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
 
 
