@@ -47,10 +47,8 @@ def count_words(model, texts: list[str], known: dict[str, int]) -> list[int]:
     new = list(every - known.keys())
     # the library puts a marker in front of what it is given; a word that begins with one gives it up for that
     plain = [u[1:] if u[0] == MARK else None for u in new]
-    coded = iter(model.encode([p for p in plain if p is not None], num_threads=1))
-    fresh = {}
-    for u, p in zip(new, plain, strict=True):
-        fresh[u] = _bare(model, u) if p is None else len(next(coded)) if p else 1
+    coded = iter(model.encode([p for p in plain if p], num_threads=1))
+    fresh = {u: len(next(coded)) if p else 1 if p == "" else _bare(model, u) for u, p in zip(new, plain, strict=True)}
     if len(known) + len(fresh) > REMEMBERED:
         fresh |= {u: known[u] for u in every & known.keys()}
         known.clear()
