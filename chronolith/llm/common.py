@@ -39,11 +39,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: With these on, Spark drops a query's shuffle files as soon as the query has ended.
+CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    What the write has shuffled is dropped at its end, so the steps of an operator don't add up on disk.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = {k: spark.conf.get(k, None) for k in CLEANUP}
+    for k in CLEANUP:
+        spark.conf.set(k, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -78,8 +93,8 @@ def fold_pairs(a: Column, b: Column, gap: int, n: Column) -> Column:
     return F.zip_with(part(a, 0, n), part(b, gap, n), lambda a, b: F.xxhash64(a, b))
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> None:
-    """Bounds the Arrow batches that Python gets, by rows and bytes, where the session has not set them."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, value)
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the Arrow batches that Python gets, where the session has not."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(rows))
