@@ -116,5 +116,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     A rejected doc_id takes all rows that repeat it along, unless another of them is kept.
     """
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("good_id")), "left_semi")
+    verdict = judge(docs).groupBy(F.col("doc_id").alias("bad_id")).agg(F.bool_or("kept").alias("any"))
+    bad = C.join_side(C.materialize(verdict.where("NOT any").select("bad_id"), "quality-rejected"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
