@@ -46,8 +46,7 @@ def consecutive_changes(records: DataFrame, snaps: DataFrame) -> DataFrame:
     A record is compared with that of the snapshot before in sequence; gaps in a key's sequence are a delete and an add.
     """
     order = snaps.select(F.col("id").alias("snapshot_id"), "seq")
-    last = F.broadcast(snaps.agg(F.max("seq").alias("last_seq")))
-    r = records.join(F.broadcast(order), "snapshot_id").crossJoin(last)  # one row
+    r = records.join(F.broadcast(order), "snapshot_id").withColumn("last_seq", snaps.agg(F.max("seq")).scalar())
     key = Window.partitionBy(*KEY).orderBy("seq")
     before, after = F.lag("seq").over(key), F.lead("seq").over(key)
     same = F.struct("oid", "size", "mode").eqNullSafe(F.lag(F.struct("oid", "size", "mode")).over(key))
@@ -82,10 +81,8 @@ def as_of(probes: DataFrame, at: str, snaps: DataFrame) -> DataFrame:
     Every snapshot holds until the next; the stretches are laid over days, so the join is on the day.
     """
     nxt = F.lead("created_at").over(Window.orderBy("created_at", "id"))
-    top = F.broadcast(probes.agg(F.to_date(F.max(at)).alias("top")))
-    held = snaps.select("id", "created_at", nxt.alias("until")).crossJoin(top)  # one row
-    end = F.least(F.coalesce(F.to_date("until"), F.col("top")), F.col("top"))
-    held = held.withColumn("end", end).where(F.to_date("created_at") <= F.col("end")).withColumn("on", F.explode(F.sequence(F.to_date("created_at"), "end")))
+    held = snaps.select("id", "created_at", nxt.alias("until")).withColumn("top", probes.agg(F.to_date(F.max(at))).scalar())
+    held = held.withColumn("end", F.least(F.coalesce(F.to_date("until"), F.col("top")), F.col("top"))).where(F.to_date("created_at") <= F.col("end")).withColumn("on", F.explode(F.sequence(F.to_date("created_at"), "end")))
     hit = (F.to_date(F.col(at)) == F.col("on")) & (F.col(at) >= F.col("created_at")) & (F.col("until").isNull() | (F.col(at) < F.col("until")))
     return probes.join(held.select(F.col("id").alias("snapshot_id"), "created_at", "until", "on"), hit, "left").drop("created_at", "until", "on")
 

@@ -54,10 +54,9 @@ def versions(events: DataFrame) -> DataFrame:
 def file_records(spark: SparkSession, d: str) -> DataFrame:
     """snapshot_id and the records that it holds."""
     snaps = snapshots(spark, d)
-    last = snaps.agg(F.max("day").alias("last_day"))
-    live = versions(journal(spark, d)).where("NOT tombstone").crossJoin(F.broadcast(last))  # one row
-    to = F.coalesce(F.date_sub(F.to_date("until"), 1), F.col("last_day"))
-    live = live.withColumn("to", to).where(F.to_date("observed_at") <= F.col("to"))
+    last = snaps.agg(F.max("day")).scalar()
+    live = versions(journal(spark, d)).where("NOT tombstone")
+    live = live.withColumn("to", F.coalesce(F.date_sub(F.to_date("until"), 1), last)).where(F.to_date("observed_at") <= F.col("to"))
     each = live.withColumn("day", F.explode(F.sequence(F.to_date("observed_at"), "to")))
     return each.join(F.broadcast(snaps.select("day", F.col("id").alias("snapshot_id"))), "day").select("snapshot_id", "root_id", "path", "oid", "size", "mode", "event_id", F.unix_timestamp(F.col("observed_at").cast("timestamp")).alias("modified"))
 

@@ -15,27 +15,29 @@ def is_trigger() -> Column:
     return F.col("kind").isin(*TRIGGERS)
 
 
+def _last_finish(rows: DataFrame) -> Column:
+    return rows.agg(F.max(F.when(F.col("kind") == FINISH, F.col("observed_at")))).scalar()
+
+
 def pending(rows: DataFrame, synced: bool = False) -> DataFrame:
     """Trigger rows after the last finish; with ``synced`` only those not yet synced."""
-    last = rows.agg(F.max(F.when(F.col("kind") == FINISH, F.col("observed_at"))).alias("last_finish"))
-    late = rows.where(is_trigger()).crossJoin(F.broadcast(last)).where(F.col("last_finish").isNull() | (F.col("observed_at") > F.col("last_finish"))).drop("last_finish")  # one row
+    late = rows.where(is_trigger()).withColumn("last_finish", _last_finish(rows)).where(F.col("last_finish").isNull() | (F.col("observed_at") > F.col("last_finish"))).drop("last_finish")
     return late.where(F.col("synced_at").isNull()) if synced else late
 
 
 def stats(rows: DataFrame) -> DataFrame:
     """total, pending, processed, finishes."""
-    last = rows.agg(F.max(F.when(F.col("kind") == FINISH, F.col("observed_at"))).alias("last_finish"))
     open_ = is_trigger() & (F.col("last_finish").isNull() | (F.col("observed_at") > F.col("last_finish")))
-    return rows.crossJoin(F.broadcast(last)).agg(F.count("*").alias("total"), F.count_if(open_).alias("pending"), F.count_if(is_trigger() & ~open_).alias("processed"), F.count_if(F.col("kind") == FINISH).alias("finishes"))
+    return rows.withColumn("last_finish", _last_finish(rows)).agg(F.count("*").alias("total"), F.count_if(open_).alias("pending"), F.count_if(is_trigger() & ~open_).alias("processed"), F.count_if(F.col("kind") == FINISH).alias("finishes"))
 
 
 def compacted(rows: DataFrame) -> DataFrame:
     """What stays: other rows from the second latest distinct finish on, triggers from the latest finish on."""
     ends = rows.where(F.col("kind") == FINISH).select("observed_at").distinct().orderBy(F.desc("observed_at")).limit(2)
-    cut = ends.agg(F.max("observed_at").alias("latest"), F.min("observed_at").alias("second"), F.count("*").alias("n"))
-    second = F.when(F.col("n") == 2, F.col("second"))
-    gone = (is_trigger() & F.coalesce(F.col("observed_at") < F.col("latest"), F.lit(False))) | (~is_trigger() & F.coalesce(F.col("observed_at") < second, F.lit(False)))
-    return rows.crossJoin(F.broadcast(cut)).where(~gone).select(*rows.columns)  # one row
+    cut = ends.agg(F.struct(F.max("observed_at").alias("latest"), F.min("observed_at").alias("second"), F.count("*").alias("n")).alias("cut")).scalar()
+    second = F.when(F.col("cut.n") == 2, F.col("cut.second"))
+    gone = (is_trigger() & F.coalesce(F.col("observed_at") < F.col("cut.latest"), F.lit(False))) | (~is_trigger() & F.coalesce(F.col("observed_at") < second, F.lit(False)))
+    return rows.withColumn("cut", cut).where(~gone).select(*rows.columns)
 
 
 def gap_sessions(rows: DataFrame, key: str, gap_seconds: int) -> DataFrame:
