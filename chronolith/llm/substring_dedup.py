@@ -153,9 +153,7 @@ def _candidates(window: int):
             known = np.zeros(len(h) + 1, bool)
             known[seen_at + at[np.repeat(np.arange(len(offs) - 1), np.diff(offs))]] = True
             lone = ~known[left]
-            out = np.zeros(len(h) + 2, np.int64)
-            np.add.at(out, np.maximum(right[lone] - window, 0), 1)
-            np.add.at(out, left[lone] + 1, -1)
+            out = np.bincount(np.maximum(right[lone] - window, 0), minlength=len(h) + 2) - np.bincount(left[lone] + 1, minlength=len(h) + 2)
             open_ = (np.cumsum(out)[:k] == 0) & (doc[:k] == doc[window - 1 :])
             p = np.flatnonzero(open_)
             if not len(p):
@@ -195,14 +193,15 @@ def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            spans = batch.column(2)
+            offs = spans.offsets.to_numpy()
+            at, size = (spans.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for text, a, z in zip(batch.column(1).to_pylist(), offs[:-1], offs[1:], strict=True):
                 words = WORD.findall(text or "")
                 n_words.append(len(words))
-                if spans:
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    at = np.array([x["at"] for x in spans])
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + np.array([x["size"] for x in spans]) + window - 1, -1)
+                if z > a:
+                    n = len(words) + 1
+                    edge = np.bincount(at[a:z], minlength=n) - np.bincount(at[a:z] + size[a:z] + window - 1, minlength=n)
                     gone = np.cumsum(edge)[:-1] > 0
                     n_removed.append(int(gone.sum()))
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
