@@ -22,6 +22,8 @@ kept AS (
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, CAST(CASE WHEN take THEN n_bad ELSE 0 END AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
 FROM docs d LEFT JOIN counts c ON d.row = c.row LEFT JOIN cut u ON d.row = u.row LEFT JOIN kept k ON d.row = k.row"""
 
+OP2_WHOLE = OP2.replace("2 * n_bad <= n_lines AS take", "n_bad < n_lines AS take")
+
 _N = substring_dedup.WINDOW
 OP4 = f"""
 WITH {DOCS}, {WORDS},
@@ -98,4 +100,4 @@ m AS (SELECT DISTINCT page_id, list, key FROM p JOIN r ON pos >= f AND (u IS NUL
 g AS (SELECT page_id, count(*) AS n, string_agg(list || ':' || key, ',' ORDER BY list, key) AS s FROM m GROUP BY 1)
 SELECT p.page_id, host, coalesce(n, 0) AS n_matches, coalesce(s, '') AS matches, coalesce(n, 0) > 0 AS blocked FROM p LEFT JOIN g ON p.page_id = g.page_id"""
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op4_substring_dedup": OP4, "op6_quality_rules": OP6, "op7_decontamination": OP7, "op10_url_filter": OP10}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2, "op2_line_dedup_whole": OP2_WHOLE, "op4_substring_dedup": OP4, "op6_quality_rules": OP6, "op7_decontamination": OP7, "op10_url_filter": OP10}

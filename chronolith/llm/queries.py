@@ -32,11 +32,16 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > MAX_TOKENS).alias("over_limit"))
 
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.clean(_table(spark, sf_dir, "documents"))
+def op2_line_dedup(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    cleaned = line_dedup.clean(_table(spark, sf_dir, "documents"), whole=whole)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op2_line_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boilerplate leaves every document with a line of its own."""
+    return op2_line_dedup(spark, sf_dir, whole=True)
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_documents(_table(spark, sf_dir, "documents"), _tokenizer(), token_ids=False)
 
@@ -101,6 +106,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_line_dedup": op2_line_dedup,
+    "op2_line_dedup_whole": op2_line_dedup_whole,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_pii": op5_pii,

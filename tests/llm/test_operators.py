@@ -66,6 +66,14 @@ def test_line_dedup(docs, rows, empty, min_sites):
     assert line_dedup.clean(empty).count() == 0
 
 
+def test_line_dedup_of_documents_that_mostly_consist_of_boilerplate(spark):
+    shared = ["Terms of this site", "All rights reserved", "Imprint"]
+    d = [(i, "\n".join([*shared, f"own line {i}"]), f"s{i}") for i in range(5)] + [(5, "\n".join(shared), "s5"), (6, None, "s6")]
+    got = line_dedup.clean(spark.createDataFrame(d, "doc_id bigint, text string, source string"), whole=True)
+    want = Counter([(i, f"own line {i}", 4, 3) for i in range(5)] + [(5, "\n".join(shared), 3, 0), (6, None, 0, 0)])
+    assert multiset(got, "doc_id", "text", "n_lines", "n_removed") == want
+
+
 def viterbi(pieces, text):
     """Best score by the plain recurrence over characters, unknown characters at the least score less ten."""
     least = min(pieces.values()) - 10
