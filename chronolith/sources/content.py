@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 MAX_DIFF = 1 << 20
 CONTEXT = 3
+#: Bytes that are compressed first.
+SAMPLE = 1 << 16
 
 
 def bounds(target: int) -> tuple[int, int, int]:
@@ -73,12 +75,17 @@ def line_diff(old: Column | str, new: Column | str) -> Column:
     return F.pandas_udf(diff, "string")(old, new)
 
 
-def sampled_gain(content: Column | str) -> Column:
-    """1 - compressed/original of the first 64 KiB: whether compressing the whole is worth it."""
+def sampled_gain(content: Column | str, least: float = 0.0) -> Column:
+    """1 - compressed/original of the whole; of the first 64 KiB alone where that is under ``least``, as the rest is not compressed then."""
 
     def one(t):
-        data = (t if isinstance(t, bytes) else (t or "").encode())[:65536]
-        return 1 - len(zlib.compress(data, 6)) / len(data) if data else 0.0
+        data = t if isinstance(t, bytes) else (t or "").encode()
+        gain = 0.0
+        for part in (data[:SAMPLE], data) if len(data) > SAMPLE else (data,):
+            gain = 1 - len(zlib.compress(part, 6)) / len(part) if part else 0.0
+            if gain < least:
+                break
+        return gain
 
     def gain(c: pd.Series) -> pd.Series:
         return c.map(one)

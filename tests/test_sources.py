@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -63,6 +64,22 @@ def test_content_chunks_cover_and_resist_shifts():
     assert K.cut_points(b"", 2048) == []
 
 
+def test_gain_is_that_of_the_whole_after_the_sample(spark):
+    rng = random.Random(2)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    random_bytes = bytes(rng.randrange(256) for _ in range(100_000))
+    plain = lambda b: 1 - len(zlib.compress(b, 6)) / len(b) if b else 0.0
+    texts = ["a" * 65536 + noise(100_000), noise(70_000) + "b" * 100_000, "ab " * 10, "q7", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    got = {r.id: r.g for r in d.select("id", K.sampled_gain("t").alias("g")).collect()}
+    assert got == {i: plain((t or "").encode()) for i, t in enumerate(texts)}
+    assert got[3] < 0
+    gated = {r.id: r.g for r in d.select("id", K.sampled_gain("t", 0.5).alias("g")).collect()}
+    assert gated == got | {1: plain(texts[1][:65536].encode())} and got[1] > 0.5
+    b = spark.createDataFrame([(0, random_bytes), (1, random_bytes[:65536] + bytes(10**6))], "id bigint, t binary")
+    assert {r.id: r.g for r in b.select("id", K.sampled_gain("t").alias("g")).collect()} == dict.fromkeys((0, 1), plain(random_bytes[:65536]))  # the sample has no gain: no more is compressed
+
+
 def test_line_diff(spark):
     d = spark.createDataFrame([("a\nb", "a\nc"), ("a\0", "b")], "o string, n string")
     got = [r[0] for r in d.select(K.line_diff("o", "n")).collect()]
