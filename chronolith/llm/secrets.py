@@ -8,7 +8,9 @@ Benjamini-Hochberg among the distinct tokens of like length, so long and short t
 their own and at most the share FDR of the rejected is random in truth. The ranks come from a
 histogram of p-values (bounded by length classes times PLACES), not from a sort of all tokens.
 
-Tokens must mix letters and digits and carry MIN_BITS. Tokens that touch a base span are not added.
+The tests see every token of TOKEN; those added must carry MIN_BITS. No digits or letters are asked
+for: random tokens may have none, so long words that no test rejects are added as well. Tokens that
+touch a base span are not added.
 
 Defined cases: null text is empty; texts are scanned whole; repeated rows give repeated results; an
 empty table gives an empty result; other columns are not read.
@@ -105,8 +107,7 @@ def tested(tokens: DataFrame) -> DataFrame:
 
 def random_tokens(found: DataFrame) -> DataFrame:
     """The tokens ``t`` among the distinct ones of ``found`` whose randomness isn't rejected."""
-    mixed = F.col("t").rlike("[0-9].*[0-9].*[0-9]") & F.col("t").rlike("[A-Za-z].*[A-Za-z].*[A-Za-z]")
-    scored = tested(found.where(mixed).select("t").distinct()).withColumn("class", F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
+    scored = tested(found.select("t").distinct()).withColumn("class", F.floor(F.log2(F.col("n").cast("double"))).cast("int"))
     scored = C.materialize(scored.withColumn("place", F.least(F.floor(-20 * F.log10("p")), F.lit(PLACES)).cast("int")), "secret-scores")
     counts = scored.groupBy("class", "place").agg(F.count("*").alias("c"))
     upto = Window.partitionBy("class").orderBy(F.desc("place"))

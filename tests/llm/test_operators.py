@@ -288,6 +288,13 @@ def test_secrets(spark, empty):
     assert secrets.find(empty).count() == 0
 
 
+def test_random_tokens_of_few_digits_are_tested(spark):
+    few = ["TgIofywdZMnQnkLNHbDKwX5Y", "SLEQVWCJKXNUTFBAIHGMYDRZ", "LgbsmPBFDxvwkZtRhEqAyKjNcXuHoTzi"]
+    words = ["a" * 30, "zz" * 12, "----------------------------", "einerbeererheitheitbe"]
+    found = spark.createDataFrame([(t,) for t in few + words], "t string")
+    assert {r.t for r in secrets.random_tokens(found).collect()} == set(few)
+
+
 def jaccard_components(rows):
     sets = {}
     for r in rows:
