@@ -349,6 +349,15 @@ def test_null_ids_are_linked_with_nothing(spark):
     assert got == {(None, None, True): 2, (4, 4, True): 1}
 
 
+def test_a_doc_id_with_several_texts_is_one_document(spark):
+    a, b, x = (" ".join(f"{k}{i}" for i in range(30)) for k in "abx")
+    rows = [(3, a), (5, a), (5, b), (5, " "), (6, b), (7, None), (8, x), (9, x + " tail"), (9, b + " tail")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.classes(d).collect())
+    assert got == {(3, 3, True): 1, (5, 3, False): 3, (6, 3, False): 1, (7, 7, True): 1, (8, 3, False): 1, (9, 3, False): 2}
+    assert Counter(tuple(r) for r in near_dup.keep_one(d).collect()) == Counter([(3, a), (7, None)])
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a bigint, b bigint")
     got = {r.id: r.comp for r in near_dup.components(links).collect()}
