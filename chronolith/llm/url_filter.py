@@ -3,7 +3,8 @@
 Dated list entries (list, key, action, dated_at) become validity intervals: an ``add`` holds until
 the next entry for the same list and key. Every capture is joined as of its fetch time with the
 intervals of its keys: its host, the parent domains of two or more labels, and the host with each
-leading part of the path, as deep as the deepest key of the lists.
+leading part of the path, as deep as the deepest key of the lists. Hosts are compared in lower case,
+paths as they are written.
 
 Intervals are laid over months and the join is on key and month, so a hot host is spread over time
 and a capture meets only entries of its month. The list side is broadcast only up to a counted size.
@@ -43,9 +44,14 @@ def keys(url: Column, depth: int) -> Column:
     return F.when(host(url) != "", F.concat(domains, F.coalesce(paths, F.array().cast("array<string>")))).otherwise(F.array().cast("array<string>"))
 
 
+def list_key(key: Column) -> Column:
+    """A list's key as ``keys`` writes it: the host in lower case, the path as it is."""
+    return F.concat(F.lower(F.substring_index(key, "/", 1)), F.regexp_replace(key, "^[^/]*", ""))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """list, key, valid_from, valid_to (exclusive, null where open) of the entries that are active."""
-    known = entries.select("list", F.lower("key").alias("key"), "action", F.col("dated_at").cast("timestamp").alias("dated_at")).dropna()
+    known = entries.select("list", list_key(F.col("key")).alias("key"), "action", F.col("dated_at").cast("timestamp").alias("dated_at")).dropna()
     one = known.groupBy("list", "key", "dated_at").agg(F.max("action").alias("action"))
     nxt = F.lead("dated_at").over(Window.partitionBy("list", "key").orderBy("dated_at"))
     return one.withColumn("valid_to", nxt).where("action = 'add'").select("list", "key", F.col("dated_at").alias("valid_from"), "valid_to")

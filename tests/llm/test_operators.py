@@ -374,3 +374,12 @@ def test_url_lists_as_of(spark):
     assert got == {1: [("ads", "a.x.org/en")], 2: [("spam", "x.org")], 3: [], 4: [("spam", "x.org")], 5: [], 6: [], 7: [], 8: [], 9: []}
     assert url_filter.evaluate(c.limit(0), e).count() == 0
     assert all(not r.matches for r in url_filter.evaluate(c, e.limit(0)).collect())
+
+
+def test_url_list_paths_keep_their_case(spark):
+    entries = [("ads", "Example.COM/Ads", "add"), ("low", "example.com/ads", "add"), ("host", "EXAMPLE.org", "add")]
+    e = spark.createDataFrame(entries, "list string, key string, action string").withColumn("dated_at", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    caps = [(1, "https://example.com/Ads/x"), (2, "https://EXAMPLE.com/ads"), (3, "https://example.com/ADS"), (4, "https://a.example.ORG/Ads")]
+    c = spark.createDataFrame(caps, "page_id bigint, url string").withColumn("fetched_at", F.to_timestamp(F.lit("2024-01-02 00:00:00")))
+    got = {r.page_id: [(m.list, m.key) for m in r.matches] for r in url_filter.evaluate(c, e).collect()}
+    assert got == {1: [("ads", "example.com/Ads")], 2: [("low", "example.com/ads")], 3: [], 4: [("host", "example.org")]}
