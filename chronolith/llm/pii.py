@@ -1,7 +1,7 @@
 """Personal data: base patterns and bootstrapped contextual extraction.
 
 The base patterns find e-mail addresses, IPv4 addresses, card and phone numbers. They are the seeds.
-Seeds and other tokens with digits or an at sign are instances; the words around an instance give
+Seeds, other tokens with digits or an at sign and digit groups joined by spaces are instances; the words around an instance give
 its lexical patterns (the word before, the two before, the words on both sides; digits as #). Spark
 scores the graph of patterns and instances in rounds: a pattern is as sure as the mean of its
 instances, an instance as the noisy-or of its patterns; seeds stay at 1. Instances that sure
@@ -28,6 +28,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARKED = re.compile(r"[0-9@]\S*")
+#: Digit groups with spaces between some of them, and what may else join digits in a card or phone number.
+GROUPED = re.compile(r"(?<!\S)[+(]{0,2}[0-9](?:[().-]*[0-9])*(?:[().-]*\x20[\x20().-]*[0-9](?:[().-]*[0-9])*)+(?!\w)")
 BEFORE = re.compile(r"(?:(\S+)\s+)?(\S+)\s+$")
 AFTER = re.compile(r"\s+(\S+)")
 #: Characters around an instance that are read for its patterns; longer words give none.
@@ -36,6 +38,8 @@ ROUNDS = 3
 #: Least score of patterns and instances, and least distinct seeds of a pattern.
 SURE = 0.8
 SEEDS = 5
+#: Kinds whose identifiers may hold spaces, as their base patterns do.
+SPACED = ("card", "phone")
 #: What an instance of a kind must look like beyond the base pattern: share of digits, least length, an at sign.
 SHAPES = {"email": (0.0, 6, True), "ip": (0.5, 7, False), "card": (0.6, 12, False), "phone": (0.6, 7, False)}
 
@@ -106,7 +110,7 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """start, kind, end of the seeds and, with kind -1, of other tokens with a digit or an at sign."""
+    """start, kind, end of the seeds and, with kind -1, of other tokens with a digit or an at sign and of spaced digit groups."""
     out, k, free = list(base), 0, 0
     for m in MARKED.finditer(text):
         start, end = m.span()
@@ -117,6 +121,10 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
             end -= 1
         if end - start >= 6 and not any(s < end and start < e for s, _, e in base):
             out.append((start, -1, end))
+    for m in GROUPED.finditer(text):
+        start, end = m.span()
+        if end - start >= 6 and not any(s < end and start < e for s, _, e in base):
+            out.append((start, -1, end))
     return sorted(out)
 
 
@@ -167,6 +175,8 @@ def find(docs: DataFrame) -> DataFrame:
     for k, name in enumerate(KINDS):
         share, least, at_sign = SHAPES[name]
         fits = (F.col("kind") == k) & (digits >= share) & (F.length("t") >= least)
+        if name not in SPACED:
+            fits = fits & ~F.col("t").contains(" ")
         shaped = shaped | (fits & F.col("t").contains("@") if at_sign else fits)
     new = seen.where("k = -1").select("row", "s", "e", "t", F.explode("p").alias("p")).join(sure, "p").where(shaped)
     new = new.withColumn("it", F.md5("t")).join(likely, ["it", "kind"], "left_semi").select("row", F.struct("s", F.col("kind").alias("k"), "e").alias("span"))

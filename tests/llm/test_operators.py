@@ -205,6 +205,17 @@ def test_pii_patterns_discover_unseen_identifiers(spark, empty):
     assert pii.find(empty).count() == 0
 
 
+def test_pii_patterns_discover_identifiers_with_spaces(spark):
+    known = [(i, f"please call +49 30 55501{i}{i} today") for i in range(8)] + [(20 + i, f"card used {c} for it") for i, c in enumerate(("4111 1111 1111 1111", "4012 8888 8888 1881", "5555 5555 5555 4444", "5105 1051 0510 5100", "6011 1111 1111 1117", "3530 1113 3330 0000"))]
+    odd = [(100, "please call 030 123 4567 today"), (101, "please call (030) 123-45 67 today"), (102, "card used 4111 1111 1111 1112 for it")]
+    clean = [(200, "pages 12 13 14 of the book"), (201, "in 2019 2020 and 12 345kg more")]
+    got = pii.find(spark.createDataFrame([*known, *odd, *clean], "doc_id bigint, text string"))
+    extra = {r.doc_id: [(s.s, s.k, s.e) for s in r.spans] for r in got.where("size(spans) > size(base)").collect()}
+    assert extra == {100: [(12, 3, 24)], 101: [(12, 3, 27)], 102: [(10, 2, 29)]}
+    assert got.where("size(base) = 1").count() == len(known)
+    assert pii.instances("12 345kg (030) 1 2", []) == [(9, -1, 18)]
+
+
 def test_quality(docs, rows, empty):
     judged = quality.judge(docs)
     want = Counter()
