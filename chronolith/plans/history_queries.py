@@ -50,7 +50,13 @@ def file_records(spark, d):
 
 @query("SELECT id, parent_id, op_id, seq FROM snapshots WHERE seq = 3")
 def snapshot_header(spark, d):
-    return V.snapshots(spark, d).where("seq = 3").select("id", "parent_id", "op_id", F.col("seq").cast("bigint").alias("seq"))
+    return snapshot_headers(spark, d).where("seq = 3")
+
+
+@query("SELECT id, parent_id, op_id, seq FROM snapshots")
+def snapshot_headers(spark, d):
+    """Of every snapshot."""
+    return V.snapshots(spark, d).select("id", "parent_id", "op_id", F.col("seq").cast("bigint").alias("seq"))
 
 
 @query("SELECT id, kind, before_snapshot, after_snapshot FROM operations")
@@ -188,6 +194,15 @@ def restore_plan(spark, d):
     return H.restore_plan(_records(spark, d, 10).where(F.col("root_id").isin("r0", "r2")), _live(spark, d))
 
 
+@query(
+    f""", {LIVE_SQL}, w AS (SELECT * FROM file_records WHERE snapshot_id = {BY_SEQ.format(10)})
+    SELECT w.root_id, w.path, CASE WHEN l.oid IS NULL THEN 'restore' WHEN l.oid = w.oid THEN 'keep' ELSE 'modify' END AS action FROM w LEFT JOIN live l ON w.root_id = l.root_id AND w.path = l.path
+    UNION ALL SELECT root_id, path, 'delete' FROM live l WHERE root_id IN (SELECT root_id FROM w) AND NOT EXISTS (SELECT 1 FROM w WHERE w.root_id = l.root_id AND w.path = l.path)"""
+)
+def restore_plan_all_roots(spark, d):
+    return H.restore_plan(_records(spark, d, 10), _live(spark, d))
+
+
 @query(
     f""", {LIVE_SQL}, w AS (SELECT * FROM file_records WHERE snapshot_id = {BY_SEQ.format(10)})
     SELECT action, count(*) AS n FROM (SELECT CASE WHEN l.oid IS NULL THEN 'restore' WHEN l.oid = w.oid THEN 'keep' ELSE 'modify' END AS action FROM w LEFT JOIN live l ON w.root_id = l.root_id AND w.path = l.path

@@ -67,3 +67,16 @@ def test_consecutive_changes_reports_gaps(spark):
     rec = spark.createDataFrame([("s1", "r", "p", "o", 1, 0), ("s3", "r", "p", "o", 1, 0)], "snapshot_id string, " + REC)
     got = {(r.snapshot_id, r.status) for r in H.consecutive_changes(rec, snaps).collect()}
     assert got == {("s1", "A"), ("s2", "D"), ("s3", "A")}
+
+
+def test_whole_queries_cover_every_snapshot_and_root(spark):
+    from chronolith.api import QUERIES
+    from chronolith.plans import views as V
+
+    d = "/root/testdata/sf0.001"
+    headers = QUERIES["snapshot_headers"](spark, d)
+    assert headers.count() == V.snapshots(spark, d).count() > 1
+    plan = QUERIES["restore_plan_all_roots"](spark, d)
+    assert {r.root_id for r in plan.select("root_id").distinct().collect()} == {"r0", "r1", "r2", "r3"}
+    scoped = QUERIES["restore_plan"](spark, d)
+    assert sorted(map(tuple, scoped.collect())) == sorted(map(tuple, plan.where("root_id IN ('r0', 'r2')").select(*scoped.columns).collect()))
