@@ -2,14 +2,14 @@
 
 A line that stands on many sites is boilerplate. Each line hash gets a HyperLogLog sketch of its
 sites; the sketches merge by aggregation. Lines whose estimate is near the threshold get an exact
-distinct count. Boilerplate lines leave every document that has a line of its own; documents of
-nothing but such lines stay as they are, as nothing would be left of them. That is ``clean`` with
-``whole``; without, documents with more than half such lines are spared too, their own lines or not,
-as the SQL of ``op2_line_dedup`` has it.
+distinct count. Boilerplate lines leave every document that has a line of its own. A document of
+nothing but such lines is a copy as a whole and stays as it is: its lines tell nothing apart, and
+which of the copies stays is for a dedup of documents to say.
 
 Defined cases: null text stays null and has no lines; blank lines are never boilerplate and stay;
 a null site counts as none; rows that repeat a document are treated alike; an empty table gives
-an empty result; further columns pass through ``clean`` untouched.
+an empty result; further columns, of any name, pass through ``clean`` untouched, but for n_lines and
+n_removed, which the counts replace.
 """
 
 from __future__ import annotations
@@ -50,16 +50,15 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return C.materialize(sure.select("h1", "h2").unionByName(exact.where(F.col("sites") >= min_sites).select("h1", "h2")), "boilerplate")
 
 
-def clean(docs: DataFrame, min_sites: int = MIN_SITES, whole: bool = False) -> DataFrame:
-    """``docs`` with boilerplate lines gone from ``text``, plus n_lines and n_removed (long).
-
-    ``whole``: from every document with a line of its own, not only from those with half of them at least.
-    """
+@C.scoped
+def clean(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """``docs`` with boilerplate lines gone from ``text``, plus n_lines and n_removed (long)."""
     bad = C.join_side(boilerplate(docs, min_sites)).withColumnsRenamed({"h1": "b1", "h2": "b2"})
-    key = F.xxhash64("text").alias("of_text")
-    found = _lines(docs, F.col("doc_id").alias("of_id"), key).join(bad, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_semi")
-    found = found.groupBy("of_id", "of_text").agg(F.sort_array(F.collect_set("at")).alias("gone"))
-    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.xxhash64("text") == F.col("of_text")), "left")
+    of_id, of_text, gone = C.fresh(docs, "of_id", "of_text", "gone")
+    key = F.xxhash64("text")
+    found = _lines(docs, F.col("doc_id").alias("id"), key.alias("key")).join(bad, (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2")), "left_semi")
+    found = found.groupBy(F.col("id").alias(of_id), F.col("key").alias(of_text)).agg(F.sort_array(F.collect_set("at")).alias(gone))
+    both = docs.join(found, F.col("doc_id").eqNullSafe(F.col(of_id)) & (key == F.col(of_text)), "left")
 
     def removed(x: Column) -> Column:
         """Stretches between the removed places."""
@@ -69,7 +68,8 @@ def clean(docs: DataFrame, min_sites: int = MIN_SITES, whole: bool = False) -> D
 
     lines = F.split("text", "\n")
     n_lines = F.coalesce(F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(C.SPACE)) != "")), F.lit(0))
-    n_found = F.coalesce(F.size("gone"), F.lit(0))
-    take = F.col("text").isNotNull() & (n_found > 0) & (n_found < n_lines if whole else 2 * n_found <= n_lines)
-    text = F.when(take, C.let(F.struct(lines.alias("lines"), F.col("gone").alias("gone")), removed)).otherwise(F.col("text"))
-    return both.select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns], F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.when(take, n_found).otherwise(0).cast("long").alias("n_removed"))
+    n_found = F.coalesce(F.size(gone), F.lit(0))
+    take = F.col("text").isNotNull() & (n_found > 0) & (n_found < n_lines)
+    text = F.when(take, C.let(F.struct(lines.alias("lines"), F.col(gone).alias("gone")), removed)).otherwise(F.col("text"))
+    kept = [text.alias(c) if c.lower() == "text" else C.col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return both.select(*kept, F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"), F.when(take, n_found).otherwise(0).cast("long").alias("n_removed"))
