@@ -12,8 +12,11 @@ The tests see every token of TOKEN; those added must carry MIN_BITS. No digits o
 for: random tokens may have none, so long words that no test rejects are added as well. Tokens that
 touch a base span are not added.
 
-Defined cases: null text is empty; texts are scanned whole; repeated rows give repeated results; an
-empty table gives an empty result; other columns are not read.
+Places of matches are running sums over arrays by doubling, so a text of many matches costs n log n.
+
+Defined cases: null text is empty; texts are scanned whole; repeated rows give repeated results, rows
+without doc_id (of any type) too; an empty table gives an empty result; other columns, of any name,
+are not read.
 """
 
 from __future__ import annotations
@@ -50,19 +53,31 @@ ENCODINGS = (
 
 def spans(text: Column, pattern: str, extra: Column | None = None) -> Column:
     """s, e (code points, end exclusive) and t of all matches; x is the element of ``extra`` with the same place."""
-    gaps = F.transform(F.split(text, pattern), lambda g: F.length(g))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    each = F.arrays_zip(gaps.alias("g"), found.alias("t"), (found if extra is None else extra).alias("x"))
     empty = F.array().cast("array<struct<s:bigint,e:bigint,t:string,x:string>>")
-    zero = F.lit(0).cast("bigint")
 
-    def step(a: Column, m: Column) -> Column:
-        s = a.at + m.g
-        e = s + F.length(m.t)
-        return F.struct(e.cast("bigint").alias("at"), F.concat(a.out, F.array(F.struct(s.cast("bigint").alias("s"), e.cast("bigint").alias("e"), m.t.alias("t"), m.x.alias("x")))).alias("out"))
+    def placed(x: Column) -> Column:
+        # a match ends after all gaps and matches up to it
+        own = F.zip_with(F.slice(x.gaps, F.lit(1), F.size(x.found)), x.found, lambda g, t: (F.length(g) + F.length(t)).cast("bigint"))
+        each = F.arrays_zip(C.running(own, lambda a, b: a + b).alias("e"), x.found.alias("t"), x.extra.alias("x"))
+        return F.transform(each, lambda m: F.struct((m.e - F.length(m.t)).cast("bigint").alias("s"), m.e.alias("e"), m.t.alias("t"), m.x.alias("x")))
+
+    parts = F.struct(F.split(text, pattern).alias("gaps"), found.alias("found"), (found if extra is None else extra).alias("extra"))
+    return F.when(text.rlike(pattern), C.let(parts, placed)).otherwise(empty)
+
+
+def untouched(more: Column, base: Column) -> Column:
+    """The spans of ``more`` (s, e, t; in order, apart) that no span of ``base`` (s, k, e; in any order) overlaps."""
+    asked = F.transform(more, lambda m: F.struct(m.e.alias("key"), F.lit(0).alias("kind"), F.lit(-1).cast("bigint").alias("to"), m.s.alias("s"), m.t.alias("t")))
+    there = F.transform(base, lambda b: F.struct(b.s.alias("key"), F.lit(1).alias("kind"), b.e.alias("to"), b.s.alias("s"), F.lit("").alias("t")))
+
+    def free(x: Column) -> Column:
+        # the farthest end of the base spans that start before a span's end
+        upto = C.running(F.transform(x, lambda y: y.to), lambda a, b: F.greatest(a, b))
+        known = F.filter(F.arrays_zip(x.alias("y"), upto.alias("upto")), lambda z: (z.y.kind == 0) & (z.upto <= z.y.s))
+        return F.transform(known, lambda z: F.struct(z.y.s.alias("s"), z.y.key.alias("e"), z.y.t.alias("t")))
 
-    walked = F.aggregate(F.filter(each, lambda m: m.t.isNotNull()), F.struct(zero.alias("at"), empty.alias("out")), step)
-    return F.when(text.rlike(pattern), walked.out).otherwise(empty)
+    return F.when((F.size(more) == 0) | (F.size(base) == 0), more).otherwise(C.let(F.array_sort(F.concat(asked, there)), free))
 
 
 def _tail(z: Column) -> Column:
@@ -119,6 +134,7 @@ def random_tokens(found: DataFrame) -> DataFrame:
     return kept.select("t")
 
 
+@C.scoped
 def find(docs: DataFrame) -> DataFrame:
     """row (a number for each row), doc_id, spans: array of (s, e, kind, base) by start then kind, kinds in the order assign, access, hex, random."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -132,8 +148,7 @@ def find(docs: DataFrame) -> DataFrame:
     base = F.concat(kind(assign, 0), kind(spans(F.col("t"), ACCESS), 1), kind(spans(F.col("t"), HEX), 2))
     d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", base.alias("base"), F.transform(spans(F.col("t"), TOKEN), lambda m: F.struct(m.s.alias("s"), m.e.alias("e"), m.t.alias("t"))).alias("more"))
     d = C.materialize(d, "secret-found")
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b.s < m.e) & (m.s < b.e)))
-    tokens = d.where("size(more) > 0").select("row", F.explode(free).alias("m")).select("row", "m.*")
+    tokens = d.where("size(more) > 0").select("row", F.explode(untouched(F.col("more"), F.col("base"))).alias("m")).select("row", "m.*")
     chosen = C.materialize(random_tokens(tokens).select(F.md5("t").alias("key")), "secret-tokens")
     added = tokens.withColumn("key", F.md5("t")).join(C.join_side(chosen), "key", "left_semi")
     added = added.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("s", F.lit(3).alias("k"), "e")).alias("added"))
