@@ -7,13 +7,16 @@ scores the graph of patterns and instances in rounds: a pattern is as sure as th
 instances, an instance as the noisy-or of its patterns; seeds stay at 1. Instances that sure
 patterns of a kind discover, and that have a shape of that kind, become spans of it.
 
-Defined cases: null text is empty; texts are scanned whole; repeated rows give repeated results; an
-empty table gives an empty result; other columns are not read.
+Defined cases: null text is empty; texts are scanned whole, and words of a pattern are taken whole at
+any length; repeated rows give repeated results, rows without doc_id (of any type) too; an empty table
+gives an empty result; other columns, of any name, are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,10 +33,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARKED = re.compile(r"[0-9@]\S*")
 #: Digit groups with spaces between some of them, and what may else join digits in a card or phone number.
 GROUPED = re.compile(r"(?<!\S)[+(]{0,2}[0-9](?:[().-]*[0-9])*(?:[().-]*\x20[\x20().-]*[0-9](?:[().-]*[0-9])*)+(?!\w)")
-BEFORE = re.compile(r"(?:(\S+)\s+)?(\S+)\s+$")
 AFTER = re.compile(r"\s+(\S+)")
-#: Characters around an instance that are read for its patterns; longer words give none.
-REACH = 80
+#: Longer patterns are written by their digest, which tells them apart as well.
+WRITTEN = 200
 ROUNDS = 3
 #: Least score of patterns and instances, and least distinct seeds of a pattern.
 SURE = 0.8
@@ -95,23 +97,55 @@ def _emails(text: str) -> Iterator[_Span]:
         at = text.find("@", max(free, at + 1))
 
 
+def _word_before(text: str, end: int) -> tuple[int, int] | None:
+    """Where the word stands that is parted from ``end`` by white space alone."""
+    stop = end
+    while stop and text[stop - 1].isspace():
+        stop -= 1
+    if stop in (0, end):
+        return None
+    start = stop
+    while start and not text[start - 1].isspace():
+        start -= 1
+    return start, stop
+
+
+def _shape(word: str) -> str:
+    return re.sub("[0-9]", "#", word.lower())
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    left = BEFORE.search(text[max(0, start - REACH) : start])
-    right = AFTER.match(text[end : end + REACH])
-    out = []
-    if left:
-        near = re.sub("[0-9]", "#", left[2].lower())
-        out.append(f"1 {near}")
-        if left[1]:
-            out.append(f"2 {re.sub('[0-9]', '#', left[1].lower())} {near}")
-        if right:
-            out.append(f"3 {near} _ {re.sub('[0-9]', '#', right[1].lower())}")
-    return out
+    """The patterns of the instance ``text[start:end]``: none if no word stands before it."""
+    if (near := _word_before(text, start)) is None:
+        return []
+    one = _shape(text[slice(*near)])
+    out = [f"1 {one}"]
+    if far := _word_before(text, near[0]):
+        out.append(f"2 {_shape(text[slice(*far)])} {one}")
+    if right := AFTER.match(text, end):
+        out.append(f"3 {one} _ {_shape(right[1])}")
+    return [p if len(p) <= WRITTEN else f"{p[0]} digest {hashlib.md5(p.encode('utf-8', 'replace')).hexdigest()}" for p in out]
+
+
+def _apart(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts of the base spans, in order, and the farthest end up to each."""
+    ends, far = [], 0
+    for _, _, e in base:
+        far = max(far, e)
+        ends.append(far)
+    return [s for s, _, _ in base], ends
 
 
 def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """start, kind, end of the seeds and, with kind -1, of other tokens with a digit or an at sign and of spaced digit groups."""
-    out, k, free = list(base), 0, 0
+    """start, kind, end of the seeds (``base``, sorted) and, with kind -1, of other tokens with a digit or an at sign and of spaced digit groups."""
+    out, free = list(base), 0
+    starts, ends = _apart(base)
+
+    def add(start: int, end: int) -> None:
+        k = bisect_left(starts, end)
+        if end - start >= 6 and not (k and ends[k - 1] > start):
+            out.append((start, -1, end))
+
     for m in MARKED.finditer(text):
         start, end = m.span()
         while start > free and not text[start - 1].isspace():
@@ -119,16 +153,13 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         free = end
         while end > start and text[end - 1] in ".,;:!?)\"'":
             end -= 1
-        if end - start >= 6 and not any(s < end and start < e for s, _, e in base):
-            out.append((start, -1, end))
+        add(start, end)
     for m in GROUPED.finditer(text):
-        start, end = m.span()
-        if end - start >= 6 and not any(s < end and start < e for s, _, e in base):
-            out.append((start, -1, end))
+        add(*m.span())
     return sorted(out)
 
 
-SCHEMA = "doc_id bigint, base array<struct<s:bigint,k:int,e:bigint>>, seen array<struct<s:bigint,k:int,e:bigint,t:string,p:array<string>>>"
+SCHEMA = "doc_id {}, base array<struct<s:bigint,k:int,e:bigint>>, seen array<struct<s:bigint,k:int,e:bigint,t:string,p:array<string>>>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,10 +190,11 @@ def score(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]
     return sure, C.materialize(trust, "pii-instances")
 
 
+@C.scoped
 def find(docs: DataFrame) -> DataFrame:
     """row (a number for each row), doc_id, base and spans: arrays of (s, k, e) by start, then kind."""
     C.bounded_batches(docs.sparkSession)
-    scanned = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_scan, SCHEMA)
+    scanned = docs.select("doc_id", "text").mapInArrow(_scan, SCHEMA.format(dict(docs.dtypes)["doc_id"]))
     scanned = C.materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "pii-scan")
     seen = scanned.where("size(seen) > 0").select("row", F.explode("seen").alias("m")).select("row", "m.*")
     edges = seen.select(F.explode("p").alias("p"), F.md5("t").alias("t"), "k").distinct()
