@@ -3,8 +3,9 @@
 Dated list entries (list, key, action, dated_at) become validity intervals: an ``add`` holds until
 the next entry for the same list and key. Every capture is joined as of its fetch time with the
 intervals of its keys: its host, the parent domains of two or more labels, and the host with each
-leading part of the path, as deep as the deepest key of the lists. Hosts are compared in lower case,
-paths as they are written.
+leading part of the path, as deep as the deepest key of the lists. Hosts are compared in lower case and
+without the dot that may end them, paths as they are written. Addresses (IPv4, and IPv6 in brackets)
+have no parent domains.
 
 Intervals are laid over months and the join is on key and month, so a hot host is spread over time
 and a capture meets only entries of its month. The list side is broadcast only up to a counted size.
@@ -12,7 +13,7 @@ and a capture meets only entries of its month. The list side is broadcast only u
 Defined cases: of entries of one list, key and time, a ``remove`` wins; entries with a null are
 ignored; captures with a null url or fetch time match nothing; a url without scheme and host has no
 keys; rows equal in id, url and fetch time are one capture; empty tables give no matches or no rows;
-other columns are not read.
+other columns, of any name, are not read; the name of the id may be any but those of the result.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]*)"
+ADDRESS = r"^\[|^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, HOST, 1))
+    return F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), r"\.$", "")
 
 
 def _month(t: Column) -> Column:
@@ -38,6 +40,7 @@ def keys(url: Column, depth: int) -> Column:
     """Domains of two or more labels (or the only label), and the host with the first 1..depth path parts."""
     labels = F.split(host(url), r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    domains = F.when(host(url).rlike(ADDRESS), F.array(host(url))).otherwise(domains)
     parts = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda p: p != "")
     deep = F.least(F.size(parts), F.lit(depth))
     paths = F.when(deep > 0, F.transform(F.sequence(F.lit(1), F.greatest(deep, F.lit(1))), lambda i: F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, 1, i), "/"))))
@@ -46,7 +49,7 @@ def keys(url: Column, depth: int) -> Column:
 
 def list_key(key: Column) -> Column:
     """A list's key as ``keys`` writes it: the host in lower case, the path as it is."""
-    return F.concat(F.lower(F.substring_index(key, "/", 1)), F.regexp_replace(key, "^[^/]*", ""))
+    return F.concat(F.regexp_replace(F.lower(F.substring_index(key, "/", 1)), r"\.$", ""), F.regexp_replace(key, "^[^/]*", ""))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -57,6 +60,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.withColumn("valid_to", nxt).where("action = 'add'").select("list", "key", F.col("dated_at").alias("valid_from"), "valid_to")
 
 
+@C.scoped
 def evaluate(captures: DataFrame, entries: DataFrame, capture_id: str = "page_id") -> DataFrame:
     """capture id, url, fetched_at, host and matches: the sorted (list, key) that were active, for each capture."""
     ranges = C.materialize(intervals(entries), "list-intervals")
