@@ -16,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines leave the texts; n_chars follows."""
-    return line_dedup.clean(docs).selectExpr(*["cast(length(text) AS bigint) AS n_chars" if c == "n_chars" else c for c in docs.columns])
+    return line_dedup.clean(docs).selectExpr(*["cast(length(text) AS bigint) AS n_chars" if c == "n_chars" else f"`{c.replace('`', '``')}`" for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
