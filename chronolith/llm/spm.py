@@ -7,17 +7,21 @@ markers into spaces and drops the one in front.
 
 No piece has a marker after another character, and none has a line feed beside another one (``load``
 makes sure of both), so no piece crosses the start of a word or of a line: words are cut on their own, distinct words of a batch together in numpy, and the best cut of a text is the
-concatenation. A bounded store keeps words already cut; dropping it changes no result.
+concatenation. A store of bounded bytes keeps words already cut while a task runs; dropping it changes
+no result.
 
 Defined cases: null and empty texts have no pieces and decode to the empty text; a marker
-character inside a text decodes to a space; texts are taken whole at any length; other columns
-of ``docs`` are not read.
+character inside a text decodes to a space; texts are taken whole at any length, a stretch of whole
+words at a time, and a word of any length costs one byte a byte beside itself; rows without doc_id (of
+any type) and repeated rows have results of their own; an empty table gives an empty result; other
+columns of ``docs``, of any name, are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,9 +35,11 @@ MARK = "▁"
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 #: Added to the least score for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
-#: Words that a worker remembers, and the longest of them in bytes.
-REMEMBERED = 800_000
+#: Bytes, about, of the words that a task remembers, and the longest of them in bytes.
+REMEMBERED = 16 << 20
 SHORT = 48
+#: Characters that are cut together.
+STRETCH = 1 << 20
 
 
 def build_trie(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,10 +93,29 @@ class Pieces:
     spelled: list[bytes]
     unknown: float
     longest: int
-    seen: dict[str, bytes] = field(default_factory=dict, repr=False)
 
-    def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+
+@dataclass
+class KnownWords:
+    """What short words give, up to REMEMBERED bytes; starts anew when these are used up."""
+
+    of: dict = field(default_factory=dict)
+    size: int = 0
+
+    def taken(self, every: set[str], new: dict) -> dict:
+        """What each word of ``every`` gives, by ``new`` for those not known."""
+        short = {u: x for u, x in new.items() if len(u) <= SHORT}
+        more = sum(map(len, short)) + sum(len(x) for x in short.values() if isinstance(x, bytes)) + 200 * len(short)
+        if self.size + more > REMEMBERED:
+            new = new | {u: self.of[u] for u in every & self.of.keys()}
+            self.of, self.size = {}, 0
+            if more > REMEMBERED:
+                return new
+            self.of, self.size = short, more
+            return new
+        self.of.update(short)
+        self.size += more
+        return self.of if len(short) == len(new) else self.of | new
 
 
 def load(path: str) -> Pieces:
@@ -115,24 +140,27 @@ def load(path: str) -> Pieces:
     return Pieces(*build_trie(keys), score, np.array(normal, np.int32), byte_ids, spelled, score.min() - UNKNOWN_PENALTY, max(map(len, keys)))
 
 
-def _walk_back(p: Pieces, raw: bytes, start: list[int], piece: list[int]) -> bytes:
-    out, at = [], len(raw)
-    while at:
-        if piece[at] >= 0:
-            out.append(int(p.ids[piece[at]]))
-        else:
-            out.extend(int(p.byte_ids[b]) for b in reversed(raw[start[at] : at]))
-        at = start[at]
-    return np.array(out[::-1], np.int32).tobytes()
+def _piece_at(p: Pieces, raw: bytes, a: int, b: int) -> int:
+    """The place of the piece that is spelled like ``raw[a:b]``, or -1."""
+    node = 0
+    for k in range(a, b):
+        to = p.base[node] + raw[k]
+        if p.check[to] != node:
+            return -1
+        node = to
+    return int(p.value[node])
 
 
 def _cut_long(p: Pieces, raw: bytes) -> bytes:
-    """One text by the plain recurrence; any length."""
-    n = len(raw)
-    best, start, piece = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    """One text by the plain recurrence; any length. Keeps the width of the last piece up to each place, and scores as far as a piece reaches."""
+    n, ring = len(raw), p.longest + 4
+    width_to = array("H", bytes(2 * (n + 1)))
+    best = [float("-inf")] * ring
     best[0] = 0.0
     base, check, value = p.base, p.check, p.value
     for i in range(n):
+        here = best[i % ring]
+        best[i % ring] = float("-inf")  # the place is that of i + ring from now on
         if raw[i] & 0xC0 == 0x80:
             continue
         width = 1 if raw[i] < 0x80 else 2 if raw[i] < 0xE0 else 3 if raw[i] < 0xF0 else 4
@@ -144,11 +172,19 @@ def _cut_long(p: Pieces, raw: bytes) -> bytes:
             node = to
             if (k := value[node]) >= 0:
                 single |= j + 1 - i == width
-                if (s := best[i] + p.score[k]) > best[j + 1]:
-                    best[j + 1], start[j + 1], piece[j + 1] = s, i, int(k)
-        if not single and best[i] + p.unknown > best[i + width]:
-            best[i + width], start[i + width], piece[i + width] = best[i] + p.unknown, i, -1
-    return _walk_back(p, raw, start, piece)
+                if (s := here + p.score[k]) > best[(j + 1) % ring]:
+                    best[(j + 1) % ring], width_to[j + 1] = s, j + 1 - i
+        if not single and here + p.unknown > best[(i + width) % ring]:
+            best[(i + width) % ring], width_to[i + width] = here + p.unknown, width
+    out, at = array("i"), n
+    while at:
+        start = at - width_to[at]
+        if (k := _piece_at(p, raw, start, at)) >= 0:
+            out.append(int(p.ids[k]))
+        else:
+            out.extend(int(p.byte_ids[b]) for b in reversed(raw[start:at]))
+        at = start
+    return out[::-1].tobytes()
 
 
 def _cut_short(p: Pieces, raws: list[bytes]) -> list[bytes]:
@@ -228,20 +264,44 @@ def units_of(text: str) -> list[str]:
     return UNIT.findall((MARK + text).replace(" ", MARK)) if text else []
 
 
-def encode(p: Pieces, texts: list[str | None]) -> list[bytes]:
+START = re.compile(f"(?<!{MARK}){MARK}")
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text in parts that begin where words do."""
+    s, at = (MARK + text).replace(" ", MARK), 0
+    while len(s) - at > STRETCH and (m := START.search(s, at + STRETCH)):
+        yield s[at : m.start()]
+        at = m.start()
+    yield s[at:]
+
+
+def stretches(texts: list[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
+    """Lists of (place of the text, words) with about STRETCH characters at most, a longer word apart; in order."""
+    group, size = [], 0
+    for k, t in enumerate(texts):
+        if not t:
+            continue
+        for units in [units_of(t)] if len(t) <= STRETCH else map(UNIT.findall, _parts(t)):
+            group.append((k, units))
+            size += sum(map(len, units))
+            if size >= STRETCH:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def encode(p: Pieces, texts: list[str | None], known: KnownWords | None = None) -> list[bytes]:
     """For each text its ids, as the bytes of int32s."""
-    cut = [units_of(t or "") for t in texts]
-    every = set().union(*cut)
-    new = _cut(p, list(every - p.seen.keys()))
-    if len(p.seen) + len(new) > REMEMBERED:
-        new |= {u: p.seen[u] for u in every & p.seen.keys()}
-        p.seen.clear()
-    known = p.seen
-    if len(new) <= REMEMBERED and max(map(len, new), default=0) <= 2 * SHORT:
-        known.update(new)
-    elif new:
-        known = known | new
-    return [b"".join([known[u] for u in units]) for units in cut]
+    known = known or KnownWords()
+    out: list[list[bytes]] = [[] for _ in texts]
+    for group in stretches(texts):
+        every = set().union(*(units for _, units in group))
+        now = known.taken(every, _cut(p, list(every - known.of.keys())))
+        for k, units in group:
+            out[k].append(b"".join([now[u] for u in units]))
+    return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
 
 def decode(p: Pieces, ids: bytes) -> str:
@@ -262,12 +322,12 @@ def encode_documents(docs: DataFrame, path: str, token_ids: bool = True) -> Data
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes bigint, n_tokens bigint, n_byte_pieces bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean{tail}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
+        p, known = shared.value, KnownWords()
         is_byte = np.zeros(len(p.spelled), bool)
         is_byte[p.byte_ids] = True
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            coded = encode(p, texts)
+            coded = encode(p, texts, known)
             plain = [decode(p, ids) for ids in coded]
             flat = np.frombuffer(b"".join(coded), np.int32)
             ends = np.cumsum([0, *(len(ids) // 4 for ids in coded)])

@@ -9,8 +9,9 @@ Counting a miss: the tokenizer's pieces never have a space marker after another
 line feed beside another one, so merges never cross the start of a word or a line; the words of a
 batch are encoded once each by the library and their counts are added up.
 
-Defined cases: null and empty texts have 0 tokens; texts of any length are taken whole; repeated
-rows give repeated results; an empty table gives an empty result; other columns are not read.
+Defined cases: null and empty texts have 0 tokens; texts of any length are taken whole, a stretch at a
+time; repeated rows give repeated results, rows without doc_id (of any type) too; an empty table gives
+an empty result; other columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -23,14 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .spm import MARK, units_of
-
-#: Words whose counts a worker remembers, and the longest of them in characters.
-REMEMBERED = 1_000_000
-SHORT = 64
-
-_counts: dict[str, int] = {}
-
+from .spm import MARK, KnownWords, stretches
 
 def tokenizer_digest(path: str) -> str:
     """Of the model file and the library's version."""
@@ -40,20 +34,20 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + sentencepiece.__version__.encode()).hexdigest()
 
 
-def count_words(model, texts: list[str], known: dict[str, int]) -> list[int]:
-    """Tokens of each text; ``known`` gains the short words."""
-    cut = [units_of(t) for t in texts]
-    every = set().union(*cut)
-    new = list(every - known.keys())
-    # the library puts a marker in front of what it is given; a word that begins with one gives it up for that
-    plain = [u[1:] if u[0] == MARK else None for u in new]
-    coded = iter(model.encode([p for p in plain if p], num_threads=1))
-    fresh = {u: len(next(coded)) if p else 1 if p == "" else _bare(model, u) for u, p in zip(new, plain, strict=True)}
-    if len(known) + len(fresh) > REMEMBERED:
-        fresh |= {u: known[u] for u in every & known.keys()}
-        known.clear()
-    known.update((u, c) for u, c in fresh.items() if len(u) <= SHORT)
-    return [sum([known[u] if u in known else fresh[u] for u in units]) for units in cut]
+def count_words(model, texts: list[str], known: KnownWords) -> list[int]:
+    """Tokens of each text; ``known`` gains short words."""
+    totals = [0] * len(texts)
+    for group in stretches(texts):
+        every = set().union(*(units for _, units in group))
+        new = list(every - known.of.keys())
+        # the library puts a marker in front of what it is given; a word that begins with one gives it up for that
+        plain = [u[1:] if u[0] == MARK else None for u in new]
+        coded = iter(model.encode([p for p in plain if p], num_threads=1))
+        fresh = {u: len(next(coded)) if p else 1 if p == "" else _bare(model, u) for u, p in zip(new, plain, strict=True)}
+        now = known.taken(every, fresh)
+        for k, units in group:
+            totals[k] += sum([now[u] for u in units])
+    return totals
 
 
 def _bare(model, unit: str) -> int:
@@ -69,14 +63,15 @@ def _encode_misses(misses: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
+        model, known = sentencepiece.SentencePieceProcessor(model_proto=shared.value), KnownWords()
         for batch in batches:
-            counts = count_words(model, batch.column(1).to_pylist(), _counts)
+            counts = count_words(model, batch.column(1).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
 
     return misses.select("digest", "text").mapInArrow(run, "digest binary, n_tokens bigint")
 
 
+@C.scoped
 def token_counts(docs: DataFrame, path: str, cache_path: str) -> DataFrame:
     """doc_id, n_bytes, n_tokens, content_digest (hex) for each row of ``docs``; the cache gains what it lacked."""
     spark = docs.sparkSession
@@ -89,6 +84,7 @@ def token_counts(docs: DataFrame, path: str, cache_path: str) -> DataFrame:
     cached = spark.read.schema(schema).parquet(folder).dropDuplicates(["digest"])
     distinct = keyed.groupBy("digest").agg(F.first("text").alias("text"))
     _encode_misses(distinct.join(cached, "digest", "left_anti"), path).write.mode("append").parquet(folder)
-    cached = spark.read.schema(schema).parquet(folder).dropDuplicates(["digest"])
+    # written without repeats, so that the join's sides are plain shuffles, which adaptive execution splits at a hot digest
+    cached = C.materialize(spark.read.schema(schema).parquet(folder).dropDuplicates(["digest"]), "token-counts")
     narrow = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return narrow.join(cached, "digest", "left").select("doc_id", "n_bytes", "n_tokens", F.lower(F.hex("digest")).alias("content_digest"))
