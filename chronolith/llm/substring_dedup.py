@@ -16,8 +16,8 @@ stands in two places holds, in both, all symbols whose contexts lie inside it.
 
 A collision of names can only add candidates. Defined cases: null and blank texts have no words;
 texts shorter than the window keep all words; repeated rows are places of their own, so a repeated
-text loses all words of its windows; an empty table gives an empty result; texts are taken whole;
-other columns are not read.
+text loses all words of its windows; rows without doc_id and ids of any type too; an empty table gives
+an empty result; texts are taken whole; other columns, of any name, are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -214,14 +215,14 @@ def _remove(window: int):
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text; row tells rows apart: the doc_id where it does, else a number in a written copy."""
-    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    alone = d.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 OR doc_id IS NULL").isEmpty()
-    if alone:
-        return d.select(F.col("doc_id").alias("row"), "doc_id", "text")
+    """row, doc_id, text; row tells rows apart: an integer doc_id where it does, else a number in a written copy."""
+    d = docs.select("doc_id", "text")
+    if isinstance(d.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and d.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 OR doc_id IS NULL").isEmpty():
+        return d.select(F.col("doc_id").cast("bigint").alias("row"), "doc_id", "text")
     return C.materialize(d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "substring-docs")
 
 
+@C.scoped
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by one space) for each row of ``docs``."""
     C.bounded_batches(docs.sparkSession)
@@ -233,7 +234,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     places = C.materialize(places.groupBy(F.col("row").alias("of")).agg(F.collect_list("at").alias("places")), "substring-places")
     met = docs.join(places, F.col("row") == F.col("of"), "left").select("row", F.transform(C.words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"), F.coalesce("places", F.array().cast("array<int>")).alias("places"))
     found = met.mapInArrow(_candidates(window), "h1 bigint, h2 int, settled boolean, row bigint, at int, size int, n int")
-    count = F.sum("n").over(Window.partitionBy("h1", "h2", "settled"))
-    twice = found.withColumn("count", count).where("count > 1 AND size > 0").select("row", "at", "size")
+    found = C.materialize(found, "substring-candidates")
+    # counts by partial aggregation, then a plain join, so that a hot window gathers nowhere
+    open_ = found.where("NOT settled")
+    often = open_.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))
+    often = C.join_side(C.materialize(often, "substring-often"))
+    met = open_.where("size > 0").join(often, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left_semi")
+    twice = met.select("row", "at", "size").unionByName(found.where("settled").select("row", "at", "size"))
     spans = C.materialize(twice.groupBy(F.col("row").alias("of")).agg(F.collect_list(F.struct("at", "size")).alias("spans")), "substring-spans")
-    return docs.join(spans, F.col("row") == F.col("of"), "left").select("doc_id", "text", "spans").mapInArrow(_remove(window), "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+    return docs.join(spans, F.col("row") == F.col("of"), "left").select("doc_id", "text", "spans").mapInArrow(_remove(window), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words bigint, n_removed bigint, kept_text string")
