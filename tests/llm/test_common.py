@@ -31,3 +31,27 @@ def test_join_side_broadcasts_only_small_tables(spark):
     d = spark.range(100)
     assert "ResolvedHint" in C.join_side(d)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" not in C.join_side(d, 50)._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_wide_side_is_not_broadcast(spark):
+    d = spark.range(100).select(F.expr("repeat('x', 1000)").alias("t"), F.array(F.lit("y")).alias("a"))
+    before, C.BROADCAST_BYTES = C.BROADCAST_BYTES, 50_000
+    try:
+        assert "ResolvedHint" not in C.join_side(d)._jdf.queryExecution().analyzed().toString()
+    finally:
+        C.BROADCAST_BYTES = before
+    assert "ResolvedHint" in C.join_side(d)._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    import pytest
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[3,2,1000]"
+
+    with pytest.raises(RuntimeError):
+        C.shared_dir(Session)

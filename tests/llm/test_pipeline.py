@@ -1,49 +1,19 @@
 """The pipeline's stages, one after the other, against plain versions."""
 
-import math
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
-from chronolith.llm import line_dedup, quality, spm
+from chronolith.llm import line_dedup, spm
 
 from .conftest import SCHEMA, make_docs
-from .test_operators import MODEL, WORD, WORD7, jaccard_components, low
-
-
-def good_ids(rows):
-    measured = []
-    for r in rows:
-        t = r[1] or ""
-        w = WORD.findall(t)
-        tri = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
-        cover = {k + o for k in range(len(w) - 2) if tri[tuple(w[k : k + 3])] > 1 for o in range(3)}
-        lines = [x for x in t.split("\n") if WORD.search(x)]
-        n = max(len(w), 1)
-        values = {"symbol_ratio": sum(c in "#*$%&|<>" for c in t) / n, "dup_line_ratio": (len(lines) - len(set(lines))) / max(len(lines), 1), "repeat_ratio": len(cover) / n, "mean_word_len": sum(map(len, w)) / n}
-        measured.append((r, len(w) < 50 or 2 * len(cover) > len(w), values))
-    groups, langs = defaultdict(list), defaultdict(list)
-    for r, _, v in measured:
-        groups[r[2], r[3]].append(v)
-        langs[r[2]].append(v)
-    out = set()
-    for r, failed, v in measured:
-        peers = groups[r[2], r[3]] if len(groups[r[2], r[3]]) >= quality.MIN_GROUP else langs[r[2]]
-        ok = not failed
-        for m, (lo, hi, least) in quality.MEASURES.items():
-            s = sorted(p[m] for p in peers)
-            q1, q3 = (s[max(0, math.ceil(len(s) * q) - 1)] for q in (0.25, 0.75))
-            reach = max(quality.FENCE * (q3 - q1), least)
-            ok &= (not lo or v[m] >= q1 - reach) and (not hi or v[m] <= q3 + reach)
-        if ok:
-            out.add(r[0])
-    return out
+from .test_operators import MODEL, WORD, WORD7, jaccard_components, low, plain_fences
 
 
 def plain_pipeline(rows, bench):
-    good = good_ids(rows)
+    good = {i for i, ok in plain_fences(rows) if ok}
     rows = [r for r in rows if r[0] in good]
     sites = defaultdict(set)
     for r in rows:
@@ -55,10 +25,10 @@ def plain_pipeline(rows, bench):
         lines = r[1].split("\n")
         real = [x for x in lines if WORD.search(x)]
         gone = [x for x in real if len(sites[x]) >= line_dedup.MIN_SITES]
-        text = "\n".join(x for x in lines if len(sites[x]) < line_dedup.MIN_SITES) if 2 * len(gone) <= len(real) else r[1]
+        text = "\n".join(x for x in lines if len(sites[x]) < line_dedup.MIN_SITES) if len(gone) < len(real) else r[1]
         cleaned.append((r[0], text, *r[2:]))
     comp = jaccard_components(cleaned)
-    rows = [r for r in cleaned if comp[r[0]][2]]
+    rows = list({r[0]: r for r in cleaned if comp[r[0]][2]}.values())
     windows = set()
     for _, t in bench:
         w = WORD7.findall(low(t))
