@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..steps import written
+
 KEY = ["root_id", "path"]
 CHANGE_CAP = 1024
 FOLD_FILES = 1000
@@ -46,7 +48,7 @@ def consecutive_changes(records: DataFrame, snaps: DataFrame) -> DataFrame:
     A record is compared with that of the snapshot before in sequence; gaps in a key's sequence are a delete and an add.
     """
     order = snaps.select(F.col("id").alias("snapshot_id"), "seq")
-    r = records.join(F.broadcast(order), "snapshot_id").withColumn("last_seq", snaps.agg(F.max("seq")).scalar())
+    r = records.join(order, "snapshot_id").withColumn("last_seq", snaps.agg(F.max("seq")).scalar())
     key = Window.partitionBy(*KEY).orderBy("seq")
     before, after = F.lag("seq").over(key), F.lead("seq").over(key)
     same = F.struct("oid", "size", "mode").eqNullSafe(F.lag(F.struct("oid", "size", "mode")).over(key))
@@ -55,7 +57,7 @@ def consecutive_changes(records: DataFrame, snaps: DataFrame) -> DataFrame:
     gone = F.when((F.col("after").isNull() & (F.col("seq") < F.col("last_seq"))) | (F.col("after") > F.col("seq") + 1), "D")
     both = F.filter(F.array(F.struct(F.col("seq").alias("seq"), here.alias("status")), F.struct((F.col("seq") + 1).alias("seq"), gone.alias("status"))), lambda x: x.status.isNotNull())
     each = marked.select(*KEY, F.explode(both).alias("x")).select(*KEY, "x.seq", "x.status")
-    return each.join(F.broadcast(order), "seq").select("snapshot_id", *KEY, "status")
+    return each.join(order, "seq").select("snapshot_id", *KEY, "status")
 
 
 def capped(changes: DataFrame, by: list[str], cap: int = CHANGE_CAP) -> DataFrame:
@@ -89,7 +91,7 @@ def as_of(probes: DataFrame, at: str, snaps: DataFrame) -> DataFrame:
 
 def first_snapshots(records: DataFrame, snaps: DataFrame) -> DataFrame:
     """root_id, first_snapshot."""
-    seen = records.select("root_id", "snapshot_id").distinct().join(F.broadcast(snaps), F.col("snapshot_id") == F.col("id"))
+    seen = records.select("root_id", "snapshot_id").distinct().join(snaps, F.col("snapshot_id") == F.col("id"))
     return seen.groupBy("root_id").agg(F.min_by("id", F.struct("created_at", "id")).alias("first_snapshot"))
 
 
@@ -104,21 +106,30 @@ def tree_ids(records: DataFrame) -> DataFrame:
 
 def last_changes(records: DataFrame, snaps: DataFrame) -> DataFrame:
     """root_id, last_change: the earliest snapshot of the run of equal trees that the latest one ends."""
-    t = tree_ids(records).join(F.broadcast(snaps), F.col("snapshot_id") == F.col("id"))
+    t = tree_ids(records).join(snaps, F.col("snapshot_id") == F.col("id"))
     w = Window.partitionBy("root_id").orderBy("seq")
     marked = t.withColumn("new", ~F.col("tree_id").eqNullSafe(F.lag("tree_id").over(w)))
     return marked.where("new").groupBy("root_id").agg(F.max_by("snapshot_id", "seq").alias("last_change"))
 
 
-def lineage(spark, snaps: DataFrame, start: str) -> DataFrame:
-    """id, depth of all ancestors of ``start`` by parent_id, itself first."""
-    snaps.createOrReplaceTempView("lineage_snapshots")
-    return spark.sql(
-        f"""WITH RECURSIVE up(id, parent_id, depth) AS (
-              SELECT id, parent_id, 0 FROM lineage_snapshots WHERE id = '{start}'
-              UNION ALL SELECT s.id, s.parent_id, depth + 1 FROM lineage_snapshots s JOIN up ON s.id = up.parent_id)
-            SELECT id, CAST(depth AS BIGINT) AS depth FROM up"""
-    )
+def lineage(snaps: DataFrame, start: str) -> DataFrame:
+    """id, depth of all ancestors of ``start`` by parent_id, itself first; ``depth`` 0 for itself. A parent that is unknown ends the line.
+
+    Jumps double from round to round, so a line of n takes log2(n) joins; every round is written, so plans stay short.
+    """
+    known = snaps.select("id", F.col("parent_id").alias("to"))
+    jump = written(known.join(snaps.select(F.col("id").alias("to")), "to").select("id", "to"), "lineage-jumps")
+    found, reach = written(snaps.where(F.col("id") == start).select("id", F.lit(0).cast("bigint").alias("depth")), "lineage"), 1
+    while True:
+        more = found.join(jump, "id").select(F.col("to").alias("id"), (F.col("depth") + reach).alias("depth"))
+        more = written(more, "lineage")
+        if more.isEmpty():
+            return found
+        if reach > snaps.count():
+            raise ValueError(f"{start} is its own ancestor")
+        found = written(found.unionByName(more), "lineage")
+        ahead = jump.select(F.col("id").alias("to"), F.col("to").alias("beyond"))
+        jump, reach = written(jump.join(ahead, "to").select("id", F.col("beyond").alias("to")), "lineage-jumps"), 2 * reach
 
 
 def latest_events(events: DataFrame) -> DataFrame:
@@ -156,7 +167,7 @@ def restore_plan(wanted: DataFrame, live: DataFrame) -> DataFrame:
     act = F.when(F.col("l.oid").isNull(), "restore").when(F.col("l.oid") == F.col("w.oid"), "keep").otherwise("modify")
     planned = a.join(b, KEY, "left").select(*KEY, act.alias("action"))
     roots = wanted.select("root_id").distinct()
-    gone = live.select(*KEY).join(F.broadcast(roots), "root_id", "left_semi").join(wanted.select(*KEY), KEY, "left_anti")
+    gone = live.select(*KEY).join(roots, "root_id", "left_semi").join(wanted.select(*KEY), KEY, "left_anti")
     return planned.unionByName(gone.select(*KEY, F.lit("delete").alias("action")))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,27 +33,33 @@ def fixed_ranges(length: Column, size: int) -> Column:
 def next_fit(items: DataFrame, groups: list[str], order: list[str], size: str, target: int, head: int = 8) -> DataFrame:
     """``items`` with pack_no (from 0 in a group), pack_offset and record_len: next-fit in order; a record over the target is a pack alone.
 
-    The fold is sequential by definition, so callers bound a group (for instance by tier and digest prefix).
+    Sequential by definition: a group's rows stream through one task in order, batch by batch, and only the open pack is held.
     """
-    rest = [c for c in items.columns if c not in groups]
-
-    def step(acc: Column, x: Column) -> Column:
-        need = x[size] + head
-        opens = (acc.used > 0) & (acc.used + need > target)
-        pack, at = acc.pack + F.when(opens, 1).otherwise(0), F.when(opens, F.lit(0).cast("bigint")).otherwise(acc.used)
-        return F.struct(pack.alias("pack"), (at + need).alias("used"))
-
-    listed = items.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in rest if c not in order]))).alias("xs"))
-    start = F.struct(F.lit(0).cast("int").alias("pack"), F.lit(0).cast("bigint").alias("used"))
-    zero_out = F.array().cast("array<struct<pack:int,used:bigint>>")
-    walked = F.aggregate("xs", F.struct(start.alias("s"), zero_out.alias("out")), lambda a, x: _walk(a, step(a.s, x))).out
-    each = listed.select(*groups, F.explode(F.arrays_zip(F.col("xs").alias("x"), walked.alias("p"))).alias("z"))
-    length = F.col(size) + head
-    return each.select(*groups, "z.x.*", F.col("z.p.pack").cast("bigint").alias("pack_no"), F.col("z.p.used").alias("end")).select(*groups, *order, *[c for c in rest if c not in order], "pack_no", (F.col("end") - length).alias("pack_offset"), length.alias("record_len"))
-
-
-def _walk(a: Column, s: Column) -> Column:
-    return F.struct(s.alias("s"), F.concat(a.out, F.array(s)).alias("out"))
+    columns = [c for c in items.columns if c not in ("pack_no", "pack_offset", "record_len")]
+    items = items.select(*columns)
+    kinds = dict(items.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", pack_no bigint, pack_offset bigint, record_len bigint"
+    at, by = columns.index(size), [columns.index(c) for c in groups]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pack, used = None, 0, 0
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in by), strict=True)) if by else [()] * batch.num_rows
+            numbers, offsets, lengths = [], [], []
+            for key, length in zip(keys, batch.column(at).to_pylist(), strict=True):
+                need = length + head
+                if key != now:
+                    now, pack, used = key, 0, 0
+                elif used and used + need > target:
+                    pack, used = pack + 1, 0
+                numbers.append(pack)
+                offsets.append(used)
+                lengths.append(need)
+                used += need
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in (numbers, offsets, lengths))], names=[*columns, "pack_no", "pack_offset", "record_len"])
+
+    dealt = items.repartition(*groups) if groups else items.repartition(1)
+    return dealt.sortWithinPartitions(*groups, *order).mapInArrow(run, schema)
 
 
 def utilization(used: Column, total: Column) -> Column:

@@ -8,15 +8,23 @@ from ..operators import history as H
 from ..registry import query
 from . import views as V
 
-DIFF_SQL = """
+def _at(snapshot: str) -> str:
+    """SQL for the records of one snapshot, from the events before it alone."""
+    return f"""(SELECT root_id, path, oid, size, mode, event_id, CAST(floor(epoch(observed_at)) AS BIGINT) AS modified FROM (
+    SELECT *, row_number() OVER (PARTITION BY root_id, path ORDER BY observed_at DESC, event_id DESC) AS rn FROM journal WHERE observed_at < (SELECT created_at FROM snapshots WHERE id = {snapshot})) WHERE rn = 1 AND NOT tombstone)"""
+
+
+def _diff_sql(old: str, new: str) -> str:
+    return f"""
   SELECT coalesce(o.root_id, n.root_id) AS root_id, coalesce(o.path, n.path) AS path,
          CASE WHEN o.path IS NULL THEN 'A' WHEN n.path IS NULL THEN 'D' WHEN (o.oid, o.size, o.mode) IS DISTINCT FROM (n.oid, n.size, n.mode) THEN 'M' END AS status
-  FROM (SELECT * FROM file_records WHERE snapshot_id = {old}) o
-  FULL OUTER JOIN (SELECT * FROM file_records WHERE snapshot_id = {new}) n ON o.root_id = n.root_id AND o.path = n.path"""
+  FROM {_at(old)} o FULL OUTER JOIN {_at(new)} n ON o.root_id = n.root_id AND o.path = n.path"""
+
+
 BY_SEQ = "(SELECT id FROM snapshots WHERE seq = {})"
 LATEST = "(SELECT max_by(id, seq) FROM snapshots)"
 BEFORE_LATEST = "(SELECT max_by(parent_id, seq) FROM snapshots)"
-LAST_DIFF = DIFF_SQL.format(old=BEFORE_LATEST, new=LATEST)
+LAST_DIFF = _diff_sql(BEFORE_LATEST, LATEST)
 CHANGES_SQL = """
 changes AS (
   SELECT snapshot_id, root_id, path, status FROM (
@@ -35,8 +43,8 @@ def _records(spark, d, seq=None, latest=False, back=0):
     snaps = V.snapshots(spark, d)
     if seq is None:
         seq = snaps.agg(F.max("seq")).first()[0] - back
-    row = snaps.where(F.col("seq") == seq).select("id").first()
-    return V.file_records(spark, d).where(F.col("snapshot_id") == (row[0] if row else ""))
+    row = snaps.where(F.col("seq") == seq).select("created_at").first()
+    return V.snapshot_records(spark, d, row[0]) if row else V.snapshot_records(spark, d, None)
 
 
 def _live(spark, d):
@@ -83,7 +91,7 @@ def operation_changes(spark, d):
 def change_log(spark, d):
     ops = V.operations(spark, d).select(F.col("id").alias("op_id"), "kind", F.col("after_snapshot").alias("snapshot_id"))
     changes = H.consecutive_changes(V.file_records(spark, d), V.snapshots(spark, d))
-    return H.status_counts(changes.join(F.broadcast(ops), "snapshot_id"), "op_id", "kind")
+    return H.status_counts(changes.join(ops, "snapshot_id"), "op_id", "kind")
 
 
 @query(
@@ -104,7 +112,7 @@ def capped_summary(spark, d):
     return H.capped(H.consecutive_changes(V.file_records(spark, d), V.snapshots(spark, d)), ["snapshot_id", "root_id"], 30)
 
 
-@query(f"SELECT * FROM ({DIFF_SQL.format(old=BY_SEQ.format(6), new=BY_SEQ.format(7))}) WHERE status IS NOT NULL AND root_id = 'r1' AND (path = 'u1' OR starts_with(path, 'u1/') OR path = 'u5' OR starts_with(path, 'u5/')) AND status IN ('A', 'M')")
+@query(f"SELECT * FROM ({_diff_sql(BY_SEQ.format(6), BY_SEQ.format(7))}) WHERE status IS NOT NULL AND root_id = 'r1' AND (path = 'u1' OR starts_with(path, 'u1/') OR path = 'u5' OR starts_with(path, 'u5/')) AND status IN ('A', 'M')")
 def operation_diff_filtered(spark, d):
     """The operation that made snapshot 7, one root, two pathspecs, two statuses; filters go before the join."""
     from ..functions.paths import matches_specs
@@ -142,12 +150,12 @@ def root_snapshots(spark, d):
 @query(f", up AS (SELECT id, parent_id, CAST(0 AS BIGINT) AS depth FROM snapshots WHERE id = {LATEST} UNION ALL SELECT s.id, s.parent_id, depth + 1 FROM snapshots s JOIN up ON s.id = up.parent_id) SELECT id, depth FROM up")
 def snapshot_lineage(spark, d):
     snaps = V.snapshots(spark, d)
-    return H.lineage(spark, snaps, snaps.agg(F.max_by("id", "seq")).first()[0])
+    return H.lineage(snaps, snaps.agg(F.max_by("id", "seq")).first()[0])
 
 
 @query(
     f""", won AS {LAST_EVENT.format(" WHERE observed_at > (SELECT created_at FROM snapshots WHERE seq = 5) AND observed_at <= (SELECT created_at FROM snapshots WHERE seq = 8)")}
-    SELECT root_id, path, oid, size, mode FROM file_records r WHERE snapshot_id = {BY_SEQ.format(5)} AND NOT EXISTS (SELECT 1 FROM won w WHERE w.root_id = r.root_id AND w.path = r.path)
+    SELECT root_id, path, oid, size, mode FROM {_at(BY_SEQ.format(5))} r WHERE NOT EXISTS (SELECT 1 FROM won w WHERE w.root_id = r.root_id AND w.path = r.path)
     UNION ALL SELECT root_id, path, oid, size, mode FROM won WHERE NOT tombstone"""
 )
 def restore_overlay(spark, d):
@@ -160,7 +168,7 @@ STATE_SQL = f"""
   SELECT coalesce(o.root_id, n.root_id) AS root_id, coalesce(o.path, n.path) AS path,
          CASE WHEN o.path IS NULL THEN 'A' WHEN n.path IS NULL THEN 'D' WHEN o.oid <> n.oid THEN 'M' WHEN (o.size, o.mode) IS DISTINCT FROM (n.size, n.mode) THEN 'm' END AS status,
          CAST(n.modified AS VARCHAR) AS order_time
-  FROM (SELECT * FROM file_records WHERE snapshot_id = {BY_SEQ.format(20)}) o FULL OUTER JOIN live n ON o.root_id = n.root_id AND o.path = n.path"""
+  FROM {_at(BY_SEQ.format(20))} o FULL OUTER JOIN live n ON o.root_id = n.root_id AND o.path = n.path"""
 
 
 @query(f", {LIVE_SQL} SELECT * FROM ({STATE_SQL}) WHERE status IS NOT NULL")
@@ -181,12 +189,12 @@ def state_since(spark, d):
 )
 def state_lifecycle(spark, d):
     records, snaps = V.file_records(spark, d), V.snapshots(spark, d)
-    first = records.join(F.broadcast(H.first_snapshots(records, snaps)), "root_id").where("snapshot_id = first_snapshot")
+    first = records.join(H.first_snapshots(records, snaps), "root_id").where("snapshot_id = first_snapshot")
     return H.lifecycle_state(first, _live(spark, d))
 
 
 @query(
-    f""", {LIVE_SQL}, w AS (SELECT * FROM file_records WHERE snapshot_id = {BY_SEQ.format(10)} AND root_id IN ('r0', 'r2'))
+    f""", {LIVE_SQL}, w AS (SELECT * FROM {_at(BY_SEQ.format(10))} WHERE root_id IN ('r0', 'r2'))
     SELECT w.root_id, w.path, CASE WHEN l.oid IS NULL THEN 'restore' WHEN l.oid = w.oid THEN 'keep' ELSE 'modify' END AS action FROM w LEFT JOIN live l ON w.root_id = l.root_id AND w.path = l.path
     UNION ALL SELECT root_id, path, 'delete' FROM live l WHERE root_id IN (SELECT root_id FROM w) AND NOT EXISTS (SELECT 1 FROM w WHERE w.root_id = l.root_id AND w.path = l.path)"""
 )
@@ -195,7 +203,7 @@ def restore_plan(spark, d):
 
 
 @query(
-    f""", {LIVE_SQL}, w AS (SELECT * FROM file_records WHERE snapshot_id = {BY_SEQ.format(10)})
+    f""", {LIVE_SQL}, w AS {_at(BY_SEQ.format(10))}
     SELECT w.root_id, w.path, CASE WHEN l.oid IS NULL THEN 'restore' WHEN l.oid = w.oid THEN 'keep' ELSE 'modify' END AS action FROM w LEFT JOIN live l ON w.root_id = l.root_id AND w.path = l.path
     UNION ALL SELECT root_id, path, 'delete' FROM live l WHERE root_id IN (SELECT root_id FROM w) AND NOT EXISTS (SELECT 1 FROM w WHERE w.root_id = l.root_id AND w.path = l.path)"""
 )
@@ -204,7 +212,7 @@ def restore_plan_all_roots(spark, d):
 
 
 @query(
-    f""", {LIVE_SQL}, w AS (SELECT * FROM file_records WHERE snapshot_id = {BY_SEQ.format(10)})
+    f""", {LIVE_SQL}, w AS {_at(BY_SEQ.format(10))}
     SELECT action, count(*) AS n FROM (SELECT CASE WHEN l.oid IS NULL THEN 'restore' WHEN l.oid = w.oid THEN 'keep' ELSE 'modify' END AS action FROM w LEFT JOIN live l ON w.root_id = l.root_id AND w.path = l.path
     UNION ALL SELECT 'delete' FROM live l WHERE root_id IN (SELECT root_id FROM w) AND NOT EXISTS (SELECT 1 FROM w WHERE w.root_id = l.root_id AND w.path = l.path)) GROUP BY 1"""
 )
@@ -217,17 +225,17 @@ def tracked_paths(spark, d):
     return H.tracked_paths(V.journal(spark, d))
 
 
-ANCESTORS = f"(SELECT root_id, size, oid, mode, path, unnest(['', split_part(path, '/', 1)]) AS dir FROM file_records WHERE snapshot_id = {{}})"
+ANCESTORS = f"(SELECT root_id, size, oid, mode, path, unnest(['', split_part(path, '/', 1)]) AS dir FROM {{}})"
 
 
-@query(f"SELECT root_id, dir, count(*) AS file_count, CAST(sum(size) AS BIGINT) AS total_size FROM {ANCESTORS.format(LATEST)} GROUP BY 1, 2")
+@query(f"SELECT root_id, dir, count(*) AS file_count, CAST(sum(size) AS BIGINT) AS total_size FROM {ANCESTORS.format(_at(LATEST))} GROUP BY 1, 2")
 def tree_rollup(spark, d):
     return H.tree_rollup(_records(spark, d))
 
 
 @query(
-    f""", a AS (SELECT root_id, dir, md5(string_agg(path || oid || size || mode, ',' ORDER BY path)) AS node FROM {ANCESTORS.format(BEFORE_LATEST)} GROUP BY 1, 2),
-    b AS (SELECT root_id, dir, md5(string_agg(path || oid || size || mode, ',' ORDER BY path)) AS node FROM {ANCESTORS.format(LATEST)} GROUP BY 1, 2)
+    f""", a AS (SELECT root_id, dir, md5(string_agg(path || oid || size || mode, ',' ORDER BY path)) AS node FROM {ANCESTORS.format(_at(BEFORE_LATEST))} GROUP BY 1, 2),
+    b AS (SELECT root_id, dir, md5(string_agg(path || oid || size || mode, ',' ORDER BY path)) AS node FROM {ANCESTORS.format(_at(LATEST))} GROUP BY 1, 2)
     SELECT root_id, dir FROM a FULL OUTER JOIN b USING (root_id, dir) WHERE a.node IS DISTINCT FROM b.node"""
 )
 def merkle_diff(spark, d):

@@ -46,7 +46,7 @@ def config_overlay(spark, d):
     """Per-root settings over the global one, by a broadcast of the (configured, hence few) roots."""
     own = spark.createDataFrame([("r1", 1000), ("r2", 5000)], "root_id string, own bigint")
     limit = F.coalesce("own", F.lit(131072).cast("bigint"))
-    return V.journal(spark, d).join(F.broadcast(own), "root_id", "left").select("event_id", limit.alias("limit_bytes"), (F.col("size") >= limit).alias("is_large"))
+    return V.journal(spark, d).join(own, "root_id", "left").select("event_id", limit.alias("limit_bytes"), (F.col("size") >= limit).alias("is_large"))
 
 
 @query("SELECT root_id, path, CASE WHEN n > 3 THEN 'skipped' ELSE 'tracked' END AS verdict FROM (SELECT root_id, path, count(*) OVER (PARTITION BY root_id) AS n FROM (SELECT DISTINCT root_id, path FROM journal WHERE event_id >= 500) WHERE (root_id, path) NOT IN (SELECT (root_id, path) FROM journal WHERE event_id < 500))")
@@ -55,7 +55,7 @@ def unknown_path_guard(spark, d):
     j = V.journal(spark, d)
     new = j.where("event_id >= 500").select("root_id", "path").distinct().join(j.where("event_id < 500").select("root_id", "path").distinct(), ["root_id", "path"], "left_anti")
     many = new.groupBy("root_id").agg(F.count("*").alias("n"))
-    return new.join(F.broadcast(many), "root_id").select("root_id", "path", F.when(F.col("n") > 3, "skipped").otherwise("tracked").alias("verdict"))
+    return new.join(many, "root_id").select("root_id", "path", F.when(F.col("n") > 3, "skipped").otherwise("tracked").alias("verdict"))
 
 
 UPSERT_SQL = ", t AS (SELECT event_id AS id, size AS v FROM journal WHERE event_id % 3 <> 0), u AS (SELECT event_id AS id, size + 1 AS v FROM journal WHERE event_id % 2 = 0)"

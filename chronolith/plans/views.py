@@ -58,7 +58,14 @@ def file_records(spark: SparkSession, d: str) -> DataFrame:
     live = versions(journal(spark, d)).where("NOT tombstone")
     live = live.withColumn("to", F.coalesce(F.date_sub(F.to_date("until"), 1), last)).where(F.to_date("observed_at") <= F.col("to"))
     each = live.withColumn("day", F.explode(F.sequence(F.to_date("observed_at"), "to")))
-    return each.join(F.broadcast(snaps.select("day", F.col("id").alias("snapshot_id"))), "day").select("snapshot_id", "root_id", "path", "oid", "size", "mode", "event_id", F.unix_timestamp(F.col("observed_at").cast("timestamp")).alias("modified"))
+    return each.join(snaps.select("day", F.col("id").alias("snapshot_id")), "day").select("snapshot_id", "root_id", "path", "oid", "size", "mode", "event_id", F.unix_timestamp(F.col("observed_at").cast("timestamp")).alias("modified"))
+
+
+def snapshot_records(spark: SparkSession, d: str, created_at) -> DataFrame:
+    """The records of the one snapshot made at ``created_at``: the intervals that cover it, none laid over days."""
+    t = F.lit(created_at)
+    live = versions(journal(spark, d).where(F.col("observed_at") < t)).where("until IS NULL AND NOT tombstone")
+    return live.select("root_id", "path", "oid", "size", "mode", "event_id", F.unix_timestamp(F.col("observed_at").cast("timestamp")).alias("modified"))
 
 
 def operations(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +117,7 @@ def upload_queue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hosts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("host"), F.col("r_name").alias("area"))
+    return table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("host"), F.col("r_name").alias("area"))
 
 
 #: The same views for DuckDB; a query puts ``WITH {SQL}`` in front.
