@@ -24,11 +24,11 @@ def document_line_diff(spark, d):
     return pairs.select("doc_id", F.sha2(F.coalesce(K.line_diff(F.col("old"), F.col("text")), F.lit("")), 256).alias("diff_sha256"))
 
 
-@query("SELECT doc_id, true AS gains FROM documents WHERE n_chars >= 300")
+@query()
 def compression_gain(spark, d):
-    """Whether a document of 300 characters or more shrinks when compressed."""
-    docs = V.table(spark, d, "documents").where(F.col("n_chars") >= 300)
-    return docs.select("doc_id", (K.sampled_gain(F.col("text")) > 0).alias("gains"))
+    """What compressing each document saves, in whole percent, and whether that is anything."""
+    gain = K.sampled_gain(F.col("text"))
+    return V.table(spark, d, "documents").select("doc_id", gain.alias("gain")).select("doc_id", F.floor(F.col("gain") * 100).cast("bigint").alias("percent"), (F.col("gain") > 0).alias("gains"))
 
 
 @query("SELECT 'objects{category=\"' || category || '\"} ' || n || '.0' AS line FROM (SELECT CASE WHEN starts_with(key, 'objects/') THEN 'payload' WHEN starts_with(key, 'large/chunks/') THEN 'chunk' ELSE 'manifest' END AS category, count(*) AS n FROM remote_objects GROUP BY 1)")

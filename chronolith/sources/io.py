@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,17 +12,32 @@ from pyspark.sql import types as T
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """key (relative to ``folder``), size, modified of all files below it; contents are not read, and Spark passes over empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    base = folder.rstrip("/").removeprefix("file://") + "/"
-    return files.select(F.substring_index(F.col("path"), base, -1).alias("key"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("modified"))
+    """key (relative to ``folder``), size, modified (epoch seconds) of all files below it, empty ones too; contents are not read.
+
+    Spark's own file sources pass over empty files; Hadoop's listing, which the driver pages through by folder, has them.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(fs_path).toString().rstrip("/") + "/"
+    folders = [fs_path]
+    rows = []
+    while folders:
+        for s in fs.listStatus(folders.pop()):
+            if s.isDirectory():
+                folders.append(s.getPath())
+            elif fnmatchcase(s.getPath().getName(), pattern):
+                rows.append((s.getPath().toString().removeprefix(base), s.getLen(), s.getModificationTime() // 1000))
+    return spark.createDataFrame(rows, "key string, size bigint, modified bigint")
 
 
 def contents(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """key, size, content, oid (SHA-256) of all files below a folder."""
+    """key, size, content, oid (SHA-256) of all files below a folder; empty ones from their listing, as their content is known."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    base = folder.rstrip("/").removeprefix("file://") + "/"
-    return files.select(F.substring_index(F.col("path"), base, -1).alias("key"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("oid"))
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    base = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(fs_path).toString().rstrip("/") + "/"
+    full = files.select(F.replace("path", F.lit(base), F.lit("")).alias("key"), F.col("length").alias("size"), "content", F.sha2("content", 256).alias("oid")).where("size > 0")
+    none = listing(spark, folder, pattern).where("size = 0").select("key", "size", F.lit(b"").alias("content"), F.sha2(F.lit(b""), 256).alias("oid"))
+    return full.unionByName(none)
 
 
 def byte_range(content, start: int, length: int):
@@ -95,17 +112,35 @@ def append_audit(ops: DataFrame, folder: str) -> None:
     ops.write.mode("append").json(folder)
 
 
-def commit(records: DataFrame, parent: DataFrame | None, folder: str, snapshot_id: str) -> bool:
-    """Writes a snapshot as a new partition unless its records equal the parent's; the caller then flips the ref. True if written."""
+def same_trees(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two sets of records have the same trees, by one join of a row a root."""
     from ..operators.history import tree_ids
 
-    def name(df: DataFrame) -> set:
-        return {tuple(r) for r in tree_ids(df.withColumn("snapshot_id", F.lit(""))).select("root_id", "tree_id", "file_count").collect()}  # a row a root
+    x, y = (tree_ids(df.withColumn("snapshot_id", F.lit(""))).select("root_id", "tree_id", "file_count") for df in (a, b))
+    return x.exceptAll(y).unionByName(y.exceptAll(x)).isEmpty()
+
 
-    if parent is not None and name(records) == name(parent):
+def commit(records: DataFrame, parent: DataFrame | None, folder: str, snapshot_id: str) -> bool:
+    """Writes a snapshot unless its records equal the parent's; the caller then flips the ref. True if written.
+
+    The rows go to a hidden folder first, which is renamed as a whole: readers see all of a snapshot or
+    nothing, and of two writers of one id the later rename fails and its rows go. A retry of a snapshot that
+    is there writes nothing.
+    """
+    spark = records.sparkSession
+    if parent is not None and same_trees(records, parent):
+        return False
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    target = path(f"{folder}/snapshot_id={snapshot_id}")
+    if fs.exists(target):
         return False
-    records.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("append").partitionBy("snapshot_id", "root_id").parquet(folder)
-    return True
+    hidden = path(f"{folder}/_new-{snapshot_id}-{uuid.uuid4().hex}")
+    records.write.partitionBy("root_id").parquet(hidden.toString())
+    if not fs.exists(target) and fs.rename(hidden, target):
+        return True
+    fs.delete(hidden, True)
+    return False
 
 
 def carried_forward(records: DataFrame, parent: DataFrame, skipped_roots: list[str], deleted_roots: list[str]) -> DataFrame:
