@@ -106,3 +106,22 @@ def pick_large(size: Column, binary: Column, minimum: int, binary_minimum: int,
 def looks_binary(content: Column, head: int = 8192) -> Column:
     """A NUL among the first ``head`` characters or bytes."""
     return F.instr(F.substring(content, 1, head), "\x00") > 0
+
+
+def payload_oid(payload: Column) -> Column:
+    """The object id of a payload (struct of kind and oid); links, folders and special files have none."""
+    return F.when(payload.kind.isin("blob", "object", "large", "large-object"), payload.oid)
+
+
+def payload_key(payload: Column) -> Column:
+    return F.when(payload.kind.isin("large", "large-object"), F.concat(F.lit("large/manifests/"), payload.oid)).when(payload.kind.isin("blob", "object"), F.concat(F.lit("objects/"), payload.oid))
+
+
+def clock_time(text: Column, now: Column) -> Column:
+    """The latest time at or before ``now`` with the clock time HH:MM or HH:MM:SS; null for other texts."""
+    ok = text.rlike(r"^([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?$")
+    parts = F.transform(F.split(text, ":"), lambda x: x.cast("int"))
+    seconds = F.when(ok, parts[0] * 3600 + parts[1] * 60 + F.coalesce(F.get(parts, 2), F.lit(0)))
+    today = F.date_trunc("day", now)
+    at = F.timestamp_seconds(F.unix_timestamp(today) + seconds)
+    return F.when(at > now, F.timestamp_seconds(F.unix_timestamp(at) - 86400)).otherwise(at)

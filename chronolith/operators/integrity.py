@@ -104,3 +104,118 @@ def severity_fold(found: DataFrame) -> DataFrame:
     rank = F.when(F.col("severity") == "error", 2).when(F.col("severity") == "warning", 1).otherwise(0)
     a = found.agg(F.count("*").alias("issues"), F.coalesce(F.max(rank), F.lit(0)).alias("worst"))
     return a.select("issues", F.when(F.col("worst") == 2, "unprotected").when(F.col("worst") == 1, "degraded").otherwise("protected").alias("state"))
+
+
+def tree_manifests(manifests: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Tree manifests (snapshot_id, root_id, tree_id, file_count) against the roots that snapshots name."""
+    by = ["snapshot_id", "root_id"]
+    a = snapshots.select(*by, F.struct("tree_id", "file_count").alias("want"))
+    j = a.join(manifests.select(*by, F.struct("tree_id", "file_count").alias("have")), by, "left")
+    wrong = F.array(
+        F.when(F.col("have").isNull(), "RootIdMismatch"),
+        F.when(F.col("have.tree_id") != F.col("want.tree_id"), "TreeIdMismatch"),
+        F.when(F.col("have.file_count") != F.col("want.file_count"), "FileCountMismatch"),
+    )
+    found = j.select(F.concat_ws("/", *by).alias("key"), F.explode(F.filter(wrong, lambda x: x.isNotNull())).alias("kind"))
+    return issues(found, "tree-manifest", "key", "kind")
+
+
+def chunk_index(index: DataFrame, expected: DataFrame) -> DataFrame:
+    """A chunk index (oid, size) against the chunks: duplicate, unexpected, mismatched and missing entries."""
+    got = index.groupBy("oid").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"))
+    j = got.join(expected.select("oid", F.col("size").alias("want"), F.lit(True).alias("known")), "oid", "full_outer")
+    wrong = F.array(
+        F.when(F.col("known").isNull(), "UnexpectedEntry"),
+        F.when(F.col("known") & (F.col("n") > 1), "DuplicateEntry"),
+        F.when(F.col("known") & ((F.col("lo") != F.col("want")) | (F.col("hi") != F.col("want"))), "EntryMismatch"),
+        F.when(F.col("n").isNull(), "MissingEntry"),
+    )
+    return issues(j.select("oid", F.explode(F.filter(wrong, lambda x: x.isNotNull())).alias("kind")), "chunk-index", "oid", "kind")
+
+
+def gc_mark(mark: DataFrame, keys: DataFrame, live: DataFrame, host: str, current: str) -> DataFrame:
+    """A garbage-collection mark (one row of version, host_id, current_snapshot) with its keys against what is live."""
+    rules = {"UnsupportedVersion": F.col("version") != 1, "HostMismatch": F.col("host_id") != host, "CurrentSnapshotMismatch": ~F.col("current_snapshot").eqNullSafe(F.lit(current))}
+    many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return report(
+        row_rules(mark, "host_id", rules, "gc-mark"),
+        issues(many, "gc-mark", "key", F.lit("DuplicateObjectKeys")),
+        issues(live.select("key").join(keys, "key", "left_anti"), "gc-mark", "key", F.lit("MissingLiveObject")),
+        issues(keys.select("key").distinct().join(live, "key", "left_anti"), "gc-mark", "key", F.lit("UnexpectedObjectKey")),
+    )
+
+
+def gc_tombstones(rows: DataFrame, host: str) -> DataFrame:
+    bad_key = (F.col("key") == "") | F.col("key").startswith("/") | F.col("key").contains("..")
+    return row_rules(rows, "key", {"UnsupportedVersion": F.col("version") != 1, "HostMismatch": F.col("host_id") != host, "InvalidDeletedKey": bad_key}, "gc-tombstone")
+
+
+ACK = "snapshot_id string, tree_id string, file_count bigint, synced_at string"
+
+
+def remote_refs(rows: DataFrame, host: str, snapshots: DataFrame) -> DataFrame:
+    """Cached remote refs (remote, name, value, observed_at): names hosts/<host>/refs/<ref> and hosts/<host>/roots/<root>/ack."""
+    ref = F.regexp_extract("name", r"^hosts/([^/]+)/refs/([^/]+)$", 1)
+    ack = F.regexp_extract("name", r"^hosts/([^/]+)/roots/([^/]+)/ack$", 1)
+    r = rows.select("*", F.nullif(ref, F.lit("")).alias("ref_host"), F.nullif(ack, F.lit("")).alias("ack_host"), F.regexp_extract("name", r"^hosts/[^/]+/refs/([^/]+)$", 1).alias("ref"))
+    r = r.select("*", F.coalesce("ref_host", "ack_host").alias("of_host"), F.from_json("value", ACK).alias("ack"))
+    points = F.when(F.col("ack_host").isNotNull(), F.col("ack.snapshot_id")).when(F.col("ref") == "current", F.col("value"))
+    r = r.withColumn("points", points).join(snapshots.select(F.col("id").alias("points"), F.lit(True).alias("there")).distinct(), "points", "left")
+    rules = {
+        "EmptyRemote": F.trim("remote") == "",
+        "InvalidObservedAt": F.col("observed_at").isNotNull() & F.try_to_timestamp("observed_at").isNull(),
+        "UnsupportedName": F.col("of_host").isNull(),
+        "HostMismatch": F.col("of_host") != host,
+        "InvalidAck": F.col("ack_host").isNotNull() & F.col("ack.snapshot_id").isNull(),
+        "MissingSnapshot": F.col("points").isNotNull() & F.col("there").isNull(),
+        "InvalidLastSynced": (F.col("ref") == "last-synced") & F.try_to_timestamp("value").isNull(),
+        "UnsupportedRefName": F.col("ref_host").isNotNull() & ~F.col("ref").isin("current", "last-synced"),
+    }
+    return row_rules(r, "name", rules, "remote-ref")
+
+
+def large_pins(pins: DataFrame, large: DataFrame) -> DataFrame:
+    lost = pins.join(large.select("oid"), "oid", "left_anti")
+    return report(issues(lost, "large-pin", "oid", F.lit("Dangling")), issues(pins.where(F.try_to_timestamp("pinned_at").isNull()), "large-pin", "oid", F.lit("InvalidTimestamp")))
+
+
+def host_files(files: DataFrame, config: DataFrame) -> DataFrame:
+    """Host files (key, host_id, host_name) against the configuration's (key, config_id, config_name)."""
+    j = files.join(config, "key")
+    return row_rules(j, "key", {"IdMismatch": ~F.col("host_id").eqNullSafe(F.col("config_id")), "NameMismatch": ~F.col("host_name").eqNullSafe(F.col("config_name"))}, "host-file")
+
+
+def root_acks(acks: DataFrame, roots: DataFrame) -> DataFrame:
+    """What the remote acknowledged for each root (root_id, tree_id, file_count) against the roots of the head."""
+    return drift(acks, roots, "root_id", ["tree_id", "file_count"], "root-ack")
+
+
+def only_expected(keys: DataFrame, expected: DataFrame, prefixes: list[str], check: str) -> DataFrame:
+    """Keys under prefixes that nothing expects, and expected ones that are gone."""
+    under = F.lit(False)
+    for p in prefixes:
+        under = under | F.col("key").startswith(p)
+    return two_way(expected.where(under), keys.where(under), "key", check)
+
+
+def lifecycle_rules(configured: DataFrame, applied: DataFrame) -> DataFrame:
+    """Tier rules (prefix, days, class) that the store applies against those configured."""
+    rule = F.concat_ws(":", "prefix", "days", "class").alias("rule")
+    return two_way(configured.select(rule), applied.select(rule), "rule", "lifecycle")
+
+
+def raise_first(found: DataFrame) -> None:
+    """Stops at the first issue by check and key, as a clone does."""
+    if row := found.where("severity = 'error'").orderBy("check", "key", "detail").first():
+        raise ValueError(f"{row.check}: {row.key} {row.detail}".strip())
+
+
+def repair_list(expected: DataFrame, present: DataFrame, local: DataFrame, after: str = "", n: int | None = None) -> DataFrame:
+    """key, action of expected keys that the remote lacks, from the cursor ``after`` on: reupload where there is a local copy, else lost.
+
+    ``n`` bounds one pass of a scan that goes on at its last key.
+    """
+    gone = expected.select("key").where(F.col("key") > after).distinct().join(present.select("key"), "key", "left_anti")
+    here = local.select("key", F.lit(True).alias("here")).distinct()
+    found = gone.join(here, "key", "left").select("key", F.when(F.col("here"), "reupload").otherwise("lost").alias("action"))
+    return found if n is None else found.orderBy("key").limit(n)

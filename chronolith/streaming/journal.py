@@ -97,7 +97,9 @@ def capped_batches(rows: DataFrame, key: str, buffer: GapBuffer) -> DataFrame:
         now, state = None, None
         for f in frames:
             out = []
-            for k, part in f.groupby("key", sort=False):
+            f["key"] = f["key"].astype(object).where(f["key"].notna(), None)
+            for k, part in f.groupby("key", sort=False, dropna=False):
+                k = k if isinstance(k, str) else None  # noqa: PLW2901  a null key is a key
                 if k != now:
                     out += [(now, *b) for b in buffer.flush(state)]
                     now, state = k, None
@@ -133,3 +135,24 @@ def capped_stream(stream: DataFrame, key: str, buffer: GapBuffer) -> DataFrame:
         yield pd.DataFrame([(group[0], *b) for b in out], columns=["key", "start_ms", "events", "elapsed_ms", "reason"])
 
     return timed.groupBy("key").applyInPandasWithState(step, BATCH_SCHEMA, "first bigint, last bigint, n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+#: What kinds of raw events are called as file events.
+KIND_NAMES = {"create": "create", "modify": "modify", "delete": "remove", "remove": "remove", "access": "access"}
+
+
+def file_events(raw: DataFrame, roots: DataFrame) -> DataFrame:
+    """event_id, kind, of_root, path: a row for each path of a raw event (paths), by the deepest root above it; others drop.
+
+    ``raw`` may be a stream; ``roots`` (root_path, of_root) is the configured table. Paths meet roots by equality on the folders above them.
+    """
+    kind = F.lit("other")
+    for k, name in KIND_NAMES.items():
+        kind = F.when(F.col("kind") == k, name).otherwise(kind)
+    each = raw.select("event_id", kind.alias("kind"), F.posexplode("paths").alias("place", "full"))
+    parts = F.split("full", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    known = roots.agg(F.map_from_entries(F.collect_list(F.struct("root_path", "of_root"))).alias("roots"))  # the configured table is one row
+    deepest = F.element_at(F.filter(F.transform(above, lambda a: F.struct(a.alias("at"), F.try_element_at(F.col("roots"), a).alias("of_root"))), lambda x: x.of_root.isNotNull()), -1)
+    found = each.withColumn("roots", known.scalar()).select("event_id", "kind", "full", F.when(F.size(F.filter(above, lambda a: F.map_contains_key("roots", a))) > 0, deepest).alias("x"))
+    return found.where("x IS NOT NULL").select("event_id", "kind", F.col("x.of_root").alias("of_root"), F.substring(F.col("full"), F.length("x.at") + 2, F.length("full")).alias("path"))
