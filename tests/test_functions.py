@@ -15,8 +15,8 @@ def test_relative_time(spark, text, want):
 
 
 def test_absolute_time(spark):
-    shown = one(spark, lambda c: F.date_format(S.absolute_time(c), "yyyy-MM-dd HH:mm:ss"), "2026-06-06T14:05:00+09:00")
-    assert shown == "2026-06-06 05:05:00"
+    shown = one(spark, lambda c: F.date_format(S.absolute_time(c), "yyyy-MM-dd HH:mm:ss"), "2031-02-28T23:30:15-02:30")
+    assert shown == "2031-03-01 02:00:15"
 
 
 @pytest.mark.parametrize(("text", "want"), [("1.5GiB", 1610612736), ("20 mb", 20_000_000), ("512", 512), ("1k", 1000), ("x", None)])
@@ -54,10 +54,10 @@ def test_exclude_expansion():
 @pytest.mark.parametrize(
     ("path", "rules", "want"),
     [
-        ("ignored/keep.txt", {"include": ["**"], "exclude": ["ignored/**"], "track": ["ignored/keep.txt"]}, True),
-        ("ignored/other.txt", {"include": ["**"], "exclude": ["ignored/**"], "track": ["ignored/keep.txt"]}, False),
-        ("AppData/Local/Temp/state.json", {"include": ["*.json"], "exclude": ["AppData/**"]}, False),
-        ("a/state.json", {"include": ["*.json"], "exclude": ["AppData/**"]}, True),
+        ("build/out/report.csv", {"include": ["**"], "exclude": ["build/**"], "track": ["build/out/report.csv"]}, True),
+        ("build/out/log.csv", {"include": ["**"], "exclude": ["build/**"], "track": ["build/out/report.csv"]}, False),
+        ("vendor/lib/table.csv", {"include": ["*.csv"], "exclude": ["vendor/**"]}, False),
+        ("lib/table.csv", {"include": ["*.csv"], "exclude": ["vendor/**"]}, True),
         ("x", {"include": ["**"], "exclude": [], "track": ["x"], "untrack": ["x"]}, False),
     ],
 )
@@ -73,3 +73,9 @@ def test_key_validity(spark, key, want):
 @pytest.mark.parametrize(("name", "want"), [("My Host!", "My-Host"), ("..", "unknown-host"), (None, "unknown-host")])
 def test_host_label(spark, name, want):
     assert one(spark, S.host_label, name) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("09:30", "2031-05-04 09:30:00"), ("14:00:01", "2031-05-03 14:00:01"), ("14:00", "2031-05-04 14:00:00"), ("24:00", None), ("noon", None)])
+def test_clock_time_is_the_latest_one(spark, text, want):
+    now = F.to_timestamp(F.lit("2031-05-04 14:00:00"))
+    assert one(spark, lambda c: F.date_format(S.clock_time(c, now), "yyyy-MM-dd HH:mm:ss"), text) == want

@@ -80,3 +80,55 @@ def test_whole_queries_cover_every_snapshot_and_root(spark):
     assert {r.root_id for r in plan.select("root_id").distinct().collect()} == {"r0", "r1", "r2", "r3"}
     scoped = QUERIES["restore_plan"](spark, d)
     assert sorted(map(tuple, scoped.collect())) == sorted(map(tuple, plan.where("root_id IN ('r0', 'r2')").select(*scoped.columns).collect()))
+
+
+def test_lineage_of_thousands_and_of_gaps(spark):
+    n = 2000
+    snaps = spark.createDataFrame([(f"s{i}", f"s{i - 1}" if i else None) for i in range(n)], "id string, parent_id string")
+    got = {r.id: r.depth for r in H.lineage(snaps, f"s{n - 1}").collect()}
+    assert got == {f"s{i}": n - 1 - i for i in range(n)}
+    assert [(r.id, r.depth) for r in H.lineage(snaps.where("id <> 's5'"), "s7").orderBy("depth").collect()] == [("s7", 0), ("s6", 1)]
+    assert H.lineage(snaps, "none").count() == 0
+    with pytest.raises(ValueError):
+        H.lineage(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string"), "a")
+
+
+def test_next_fit_over_many_records_of_a_group(spark):
+    sizes = [(i * 7919) % 300 for i in range(5000)]
+    rows = spark.createDataFrame([("g", i, s) for i, s in enumerate(sizes)] + [("h", 0, 5000)], "g string, i bigint, size bigint")
+    got = {(r.g, r.i): (r.pack_no, r.pack_offset, r.record_len) for r in T.next_fit(rows, ["g"], ["i"], "size", 1000).collect()}
+    pack, used, want = 0, 0, {("h", 0): (0, 0, 5008)}
+    for i, s in enumerate(sizes):
+        if used and used + s + 8 > 1000:
+            pack, used = pack + 1, 0
+        want["g", i] = (pack, used, s + 8)
+        used += s + 8
+    assert got == want
+
+
+def test_branch_changes_that_the_refs_forbid(spark):
+    from chronolith.operators import control as C
+
+    r = spark.createDataFrame([("current", "s2"), (C.ACTIVE, "main"), ("branches/main", "s2"), ("branches/old", "s1")], "name string, value string")
+    as_dict = lambda d: {x.name: x.value for x in d.collect()}
+    for change in (lambda: C.create_branch(r, "old", "s2"), lambda: C.set_head(r, "none", "s1"), lambda: C.switch_branch(r, "none"), lambda: C.rename_branch(r, "old", "old"), lambda: C.rename_branch(r, "old", "main"), lambda: C.delete_branch(r, "main")):
+        with pytest.raises(C.BranchError):
+            change()
+    assert as_dict(C.delete_branch(r, "main", force=True)) == {"current": "s1", C.ACTIVE: "old", "branches/old": "s1"}
+    assert as_dict(C.rename_branch(r, "old", "main", force=True)) == {"current": "s1", C.ACTIVE: "main", "branches/main": "s1"}
+    assert as_dict(C.create_branch(r, "main", "s9", force=True))["current"] == "s9"
+
+
+def test_restore_jobs_go_from_prepared_to_done(spark):
+    from chronolith.operators import control as C
+
+    need = spark.createDataFrame([(1, "a", "local"), (1, "b", "archived"), (1, "c", "archived"), (2, "d", "missing"), (3, "e", "local")], "job bigint, key string, state string")
+    jobs = C.restore_jobs(need, "job")
+    status = lambda d: {r.job: r.status for r in d.collect()}
+    asked = C.request_archives(jobs, lambda k: k == "b")
+    assert status(asked) == {1: "archive-requested", 2: "prepared", 3: "prepared"}
+    assert {r.job: r.requested for r in asked.collect()}[1] == ["b"]
+    half, whole = (C.hydrate(asked, lambda k, up=up: k.isin(*up)) for up in (["b"], ["b", "c"]))
+    assert status(half)[1] == "archive-requested" and {r.job: (r.archived, r.requested) for r in half.collect()}[1] == (["c"], [])
+    assert status(C.finish(whole)) == {1: "done", 2: "ready", 3: "done"}
+    assert {r.job: r.blocked for r in C.finish(half).collect()} == {1: "archived objects pending: 1", 2: "missing objects: 1", 3: None}

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -53,3 +54,38 @@ def test_stream_counts_late_rows_apart(spark, tmp_path):
     q = J.windowed(stream, "path", "10 seconds").writeStream.outputMode("append").format("memory").queryName("late_rows").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.events, r.deletes) for r in spark.table("late_rows").collect()] == [(2, 1)]
+
+
+def test_capped_batches_keep_null_keys(spark):
+    d = spark.createDataFrame([(None, 1, T0), (None, 2, T0 + timedelta(seconds=1)), ("a", 3, T0)], "path string, event_id bigint, observed_at timestamp")
+    got = {(r.key, r.events) for r in J.capped_batches(d, "path", J.GapBuffer(2000, 10**6, 100)).collect()}
+    assert got == {(None, 2), ("a", 1)}
+
+
+def test_capped_stream_closes_batches_by_count(spark, tmp_path):
+    d = spark.createDataFrame([("a", i, T0 + timedelta(milliseconds=i)) for i in range(7)], "path string, event_id bigint, observed_at timestamp")
+    d.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))
+    q = J.capped_stream(stream, "path", J.GapBuffer(10**6, 10**7, 3)).writeStream.outputMode("append").format("memory").queryName("capped_rows").trigger(processingTime="200 milliseconds").start()
+    deadline = time.time() + 60
+    while spark.table("capped_rows").count() < 2 and time.time() < deadline:
+        time.sleep(0.2)
+    q.stop()
+    assert [(r.key, r.events, r.reason) for r in spark.table("capped_rows").collect()] == [("a", 3, "max-events")] * 2
+
+
+def test_a_live_difference_is_sent_once(spark, tmp_path):
+    from chronolith.streaming import watch as W
+
+    d = spark.createDataFrame([("r", "p", "o1", T0), ("r", "p", "o1", T0 + timedelta(seconds=5)), ("r", "p", "o2", T0)], "root_id string, path string, oid string, observed_at timestamp")
+    d.write.parquet(str(tmp_path / "in"))
+    q = W.once(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("once_rows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.oid for r in spark.table("once_rows").collect()} == {"o1", "o2"} and spark.table("once_rows").count() == 2
+
+
+def test_periodic_events_come_from_a_rate(spark):
+    from chronolith.streaming import watch as W
+
+    p = W.periodic(spark, 5, value="r0")
+    assert p.isStreaming and p.columns == ["event_id", "root_id", "kind", "observed_at"]

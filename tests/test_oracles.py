@@ -34,4 +34,4 @@ def test_same_rows(spark, duck, name):
 
 def test_every_query_is_named_once():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"capped_gap_batches", "content_chunks", "document_line_diff"}
+    assert set(QUERIES) - set(ORACLES) == {"compression_gain", "content_chunks", "document_line_diff"}
