@@ -125,3 +125,22 @@ def clock_time(text: Column, now: Column) -> Column:
     today = F.date_trunc("day", now)
     at = F.timestamp_seconds(F.unix_timestamp(today) + seconds)
     return F.when(at > now, F.timestamp_seconds(F.unix_timestamp(at) - 86400)).otherwise(at)
+
+
+def loose_key(oid: Column) -> Column:
+    return F.concat(F.lit("objects/"), F.substring(oid, 1, 2), F.lit("/"), oid)
+
+
+def canonical_key(oid: Column) -> Column:
+    return F.concat(F.lit("blobs/loose/"), F.substring(oid, 1, 2), F.lit("/"), oid)
+
+
+def host_ref(host: Column, name: Column) -> Column:
+    return F.concat(F.lit("hosts/"), host, F.lit("/refs/"), name)
+
+
+def uri_escape(text: Column, keep_slash: bool = False) -> Column:
+    """Percent-encoding of all bytes but letters, digits and ``-_.~``, and the slash if asked."""
+    form = F.url_encode(text)  # the form encoding differs in three characters
+    out = F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.replace(out, F.lit("%2F"), F.lit("/")) if keep_slash else out

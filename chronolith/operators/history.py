@@ -77,16 +77,35 @@ def folded(changes: DataFrame, by: list[str], limit: int = FOLD_FILES) -> DataFr
     return big.unionByName(small)
 
 
-def as_of(probes: DataFrame, at: str, snaps: DataFrame) -> DataFrame:
-    """``probes`` with snapshot_id, the latest snapshot at or before ``at``; null where there is none.
+def as_of(probes: DataFrame, at: str, snaps: DataFrame, by: str | None = None) -> DataFrame:
+    """``probes`` with snapshot_id, the latest snapshot (of the same ``by``) at or before ``at``; null where there is none.
 
     Every snapshot holds until the next; the stretches are laid over days, so the join is on the day.
     """
-    nxt = F.lead("created_at").over(Window.orderBy("created_at", "id"))
-    held = snaps.select("id", "created_at", nxt.alias("until")).withColumn("top", probes.agg(F.to_date(F.max(at))).scalar())
+    order = Window.partitionBy(by).orderBy("created_at", "id") if by else Window.orderBy("created_at", "id")
+    held = snaps.select("id", "created_at", F.lead("created_at").over(order).alias("until"), *([F.col(by).alias("of")] if by else [])).withColumn("top", probes.agg(F.to_date(F.max(at))).scalar())
     held = held.withColumn("end", F.least(F.coalesce(F.to_date("until"), F.col("top")), F.col("top"))).where(F.to_date("created_at") <= F.col("end")).withColumn("on", F.explode(F.sequence(F.to_date("created_at"), "end")))
     hit = (F.to_date(F.col(at)) == F.col("on")) & (F.col(at) >= F.col("created_at")) & (F.col("until").isNull() | (F.col(at) < F.col("until")))
-    return probes.join(held.select(F.col("id").alias("snapshot_id"), "created_at", "until", "on"), hit, "left").drop("created_at", "until", "on")
+    if by:
+        hit = hit & (F.col(by) == F.col("of"))
+    return probes.join(held.withColumnRenamed("id", "snapshot_id").drop("top", "end"), hit, "left").drop("created_at", "until", "on", "of")
+
+
+def resolve(names: DataFrame, refs: DataFrame, snaps: DataFrame) -> DataFrame:
+    """name, snapshot_id of references: ``first``, ``latest``, a ref, a branch, or the latest snapshot up to a day; null if nothing has it."""
+    ends = snaps.agg(F.min_by("id", "seq").alias("first"), F.max_by("id", "seq").alias("latest"))
+    by_ref = refs.select(F.explode(F.array("name", F.regexp_replace("name", "^branches/", ""))).alias("name"), "value").distinct()
+    n = names.join(by_ref, "name", "left").withColumn("time", F.try_to_timestamp("name").cast("timestamp_ntz"))
+    timed = as_of(n.where("time IS NOT NULL").select("name", "time"), "time", snaps).select(F.col("name").alias("timed_name"), F.col("snapshot_id").alias("timed"))
+    found = F.when(F.col("name") == "first", ends.select("first").scalar()).when(F.col("name") == "latest", ends.select("latest").scalar()).otherwise(F.coalesce("value", "timed"))
+    return n.join(timed, F.col("name") == F.col("timed_name"), "left").select("name", found.alias("snapshot_id"))
+
+
+def changed_fields(old: DataFrame, new: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """root_id, path, fields: which of ``fields`` (name: column) differ in records that both sides have; nulls are equal."""
+    a, b = (d.select(*KEY, F.struct(*[F.col(c).alias(n) for n, c in fields.items()]).alias(s)) for d, s in ((old, "a"), (new, "b")))
+    found = F.filter(F.array(*[F.when(~F.col(f"a.{n}").eqNullSafe(F.col(f"b.{n}")), F.lit(n)) for n in fields]), lambda x: x.isNotNull())
+    return a.join(b, KEY).select(*KEY, found.alias("fields")).where("size(fields) > 0")
 
 
 def first_snapshots(records: DataFrame, snaps: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from fnmatch import fnmatchcase
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,14 +90,62 @@ def union_hosts(hosts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+OPERATION = "id string, kind string, before_snapshot string, after_snapshot string"
+
+
+def encode_operations(ops: DataFrame) -> DataFrame:
+    """One JSON line for each operation, with its length in front as a check against torn lines."""
+    line = F.to_json(F.struct("id", "kind", "before_snapshot", "after_snapshot"))
+    return ops.select(F.concat_ws(" ", F.octet_length(line).cast("string"), line).alias("line"))
+
+
+def decode_operations(lines: DataFrame) -> DataFrame:
+    """The operations of a log; a line that is torn or no operation raises."""
+    size, line = F.split_part("line", F.lit(" "), F.lit(1)).try_cast("int"), F.expr("substring(line, locate(' ', line) + 1)")
+    whole = (F.octet_length(line) == size) & F.from_json(line, OPERATION).id.isNotNull()
+    checked = F.when(F.coalesce(whole, F.lit(False)), line).otherwise(F.raise_error(F.concat(F.lit("not an operation: "), F.substring("line", 1, 80))).cast("string"))
+    return lines.select(F.from_json(checked, OPERATION).alias("op")).select("op.*")
+
+
+def import_rows(table: DataFrame, imported: DataFrame, key: list[str]) -> DataFrame:
+    """A table with imported rows in place of those of the same key; rows that repeat a key count once."""
+    from ..operators.mutation import upsert
+
+    return upsert(table, imported.dropDuplicates(key).select(*table.columns), key)
+
+
+def import_journal(local: DataFrame, remote: DataFrame, key: str = "event_id") -> DataFrame:
+    """A journal with the rows of a remote one that it lacks."""
+    from ..operators.mutation import insert_or_ignore
+
+    return insert_or_ignore(local, remote.dropDuplicates([key]), [key])
+
+
+@contextmanager
+def locked(spark: SparkSession, folder: str, wait: float = 60.0) -> Iterator[None]:
+    """One writer of a table at a time: the file that marks it is made only where there is none, which stores do atomically."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_writer")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    until = time.monotonic() + wait
+    while not fs.createNewFile(path):
+        if time.monotonic() > until:
+            raise TimeoutError(f"another writer holds {folder}; remove {path.toString()} if it is gone")
+        time.sleep(0.2)
+    try:
+        yield
+    finally:
+        fs.delete(path, False)
+
+
 def put_if_absent(new: DataFrame, folder: str, key: str) -> int:
-    """Appends the rows whose key the table at ``folder`` lacks; writing again adds nothing. Gives the number added."""
+    """Appends the rows whose key the table at ``folder`` lacks; writing again adds nothing, nor do two writers at once. Gives the number added."""
     spark = new.sparkSession
-    new.limit(0).write.mode("append").parquet(folder)  # so that it exists
-    absent = new.dropDuplicates([key]).join(spark.read.schema(new.schema).parquet(folder).select(key), key, "left_anti").select(*new.columns)
-    before = spark.read.schema(new.schema).parquet(folder).count()
-    absent.write.mode("append").parquet(folder)
-    return spark.read.schema(new.schema).parquet(folder).count() - before
+    with locked(spark, folder):
+        new.limit(0).write.mode("append").parquet(folder)  # so that it exists
+        there = spark.read.schema(new.schema).parquet(folder)
+        before = there.count()
+        new.dropDuplicates([key]).join(there.select(key), key, "left_anti").select(*new.columns).write.mode("append").parquet(folder)
+        return spark.read.schema(new.schema).parquet(folder).count() - before
 
 
 def idempotent_sink(folder: str, key: str) -> Callable[[DataFrame, int], None]:
