@@ -79,3 +79,8 @@ def test_host_label(spark, name, want):
 def test_clock_time_is_the_latest_one(spark, text, want):
     now = F.to_timestamp(F.lit("2031-05-04 14:00:00"))
     assert one(spark, lambda c: F.date_format(S.clock_time(c, now), "yyyy-MM-dd HH:mm:ss"), text) == want
+
+
+def test_uri_escape(spark):
+    assert one(spark, S.uri_escape, "a b/é*+~_.-") == "a%20b%2F%C3%A9%2A%2B~_.-"
+    assert one(spark, lambda c: S.uri_escape(c, keep_slash=True), "a/b c") == "a/b%20c"

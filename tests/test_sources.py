@@ -184,3 +184,32 @@ def test_report_lines_as_json(spark):
     from chronolith.sources import plugins as G
 
     assert G.as_lines(spark.createDataFrame([(1, None)], "n bigint, why string"), "json").first()[0] == '{"n":1,"why":null}'
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    import threading
+
+    import pytest
+
+    folder = f"file://{tmp_path}/t"
+    (tmp_path / "t").mkdir()
+    with io.locked(spark, folder), pytest.raises(TimeoutError), io.locked(spark, folder, wait=0.3):
+        pass
+    d = spark.createDataFrame([("a", 1), ("b", 2)], "key string, v bigint")
+    added = []
+    threads = [threading.Thread(target=lambda: added.append(io.put_if_absent(d, folder, "key"))) for _ in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(added) == [0, 0, 2] and spark.read.parquet(folder).count() == 2
+
+
+def test_torn_lines_of_a_log_raise(spark):
+    import pytest
+
+    ops = spark.createDataFrame([("o1", "gc", None, "s1")], io.OPERATION)
+    line = io.encode_operations(ops).first()[0]
+    assert io.decode_operations(spark.createDataFrame([(line,)], "line string")).first() == ops.first()
+    with pytest.raises(Exception, match="not an operation"):
+        io.decode_operations(spark.createDataFrame([(line[:-3],)], "line string")).collect()
