@@ -558,6 +558,25 @@ def test_near_dedup_of_a_loose_group(spark):
     assert {r.doc_id: tuple(r)[1:] for r in near_dup.classes(d).collect()} == jaccard_components(rows)
 
 
+def test_near_dedup_bands_wide_groups_again(spark, monkeypatch):
+    """Texts that share half of their words fall into the same buckets without being copies; some are."""
+    import random
+
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        own = [f"o{i}x{k}" for k in range(30)]
+        rows.append((2 * i, " ".join(common + own)))
+        if i % 3 == 0:
+            own[rng.randrange(30)] = "edit"
+            rows.append((2 * i + 1, " ".join(common + own)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(near_dup, "WIDE", 10)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    assert {r.doc_id: tuple(r)[1:] for r in near_dup.classes(d).collect()} == jaccard_components(rows)
+
+
 def test_null_ids_are_linked_with_nothing(spark):
     d = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (4, "a b c d e f g")], "doc_id bigint, text string")
     got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.classes(d).collect())
