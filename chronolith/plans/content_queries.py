@@ -19,8 +19,10 @@ def content_chunks(spark, d):
 @query()
 def document_line_diff(spark, d):
     """Line diff of each document against the one before it of the same source and language."""
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    pairs = V.table(spark, d, "documents").withColumn("old", F.lag("text").over(w)).where("old IS NOT NULL")
+    docs = V.table(spark, d, "documents")
+    # only ids go through the window; the texts meet by id
+    before = docs.select("doc_id", F.lag("doc_id").over(Window.partitionBy("source", "lang").orderBy("doc_id")).alias("old_id")).where("old_id IS NOT NULL")
+    pairs = before.join(docs.select("doc_id", "text"), "doc_id").join(docs.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old")), "old_id").where("old IS NOT NULL")
     return pairs.select("doc_id", F.sha2(F.coalesce(K.line_diff(F.col("old"), F.col("text")), F.lit("")), 256).alias("diff_sha256"))
 
 
