@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from fnmatch import fnmatchcase
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,13 +123,31 @@ def import_journal(local: DataFrame, remote: DataFrame, key: str = "event_id") -
     return insert_or_ignore(local, remote.dropDuplicates([key]), [key])
 
 
+def _claim(fs, path) -> bool:
+    """Makes a file only where there is none. Stores do so in one step; Hadoop's local files don't, the system's own call does."""
+    uri = path.getFileSystem(fs.getConf()).makeQualified(path).toUri()
+    try:
+        if uri.getScheme() == "file":
+            os.makedirs(os.path.dirname(uri.getPath()), exist_ok=True)
+            os.close(os.open(uri.getPath(), os.O_CREAT | os.O_EXCL))
+        else:
+            fs.create(path, False).close()
+    except FileExistsError:
+        return False
+    except Py4JJavaError as e:
+        if fs.exists(path):
+            return False
+        raise e
+    return True
+
+
 @contextmanager
 def locked(spark: SparkSession, folder: str, wait: float = 60.0) -> Iterator[None]:
-    """One writer of a table at a time: the file that marks it is made only where there is none, which stores do atomically."""
+    """One writer of a table at a time, marked by a file that is made only where there is none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/_writer")
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     until = time.monotonic() + wait
-    while not fs.createNewFile(path):
+    while not _claim(fs, path):
         if time.monotonic() > until:
             raise TimeoutError(f"another writer holds {folder}; remove {path.toString()} if it is gone")
         time.sleep(0.2)
