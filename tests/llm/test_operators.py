@@ -638,7 +638,7 @@ def clashing(spark, rows, kind="bigint"):
 
 
 def test_columns_with_clashing_names(spark, docs, rows):
-    some = rows[:40] + rows[-12:]
+    some = rows[:12] + rows[60:72]
     clash = clashing(spark, some)
     plain = spark.createDataFrame(some, docs.schema)
     bench = spark.createDataFrame([(1, " ".join(rows[5][1].split(" ")[-40:]))], "item_id bigint, text string")
@@ -662,7 +662,7 @@ def test_columns_with_clashing_names(spark, docs, rows):
 
 
 def test_ids_of_other_types(spark, docs, rows, tmp_path):
-    some = [(None, *r[1:]) if k == 3 else r for k, r in enumerate(rows[:30] + rows[60:72])]
+    some = [(None, *r[1:]) if k == 3 else r for k, r in enumerate(rows[:12] + rows[60:68])]
     text, plain = clashing(spark, some, "string"), spark.createDataFrame(some, docs.schema)
     bench = spark.createDataFrame([(1, " ".join(rows[5][1].split(" ")[-40:]))], "item_id bigint, text string")
     shown = {
