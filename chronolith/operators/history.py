@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..steps import written
+from ..steps import small, written
 
 KEY = ["root_id", "path"]
 CHANGE_CAP = 1024
@@ -47,7 +47,7 @@ def consecutive_changes(records: DataFrame, snaps: DataFrame) -> DataFrame:
 
     A record is compared with that of the snapshot before in sequence; gaps in a key's sequence are a delete and an add.
     """
-    order = snaps.select(F.col("id").alias("snapshot_id"), "seq")
+    order = small(snaps.select(F.col("id").alias("snapshot_id"), "seq"))
     r = records.join(order, "snapshot_id").withColumn("last_seq", snaps.agg(F.max("seq")).scalar())
     key = Window.partitionBy(*KEY).orderBy("seq")
     before, after = F.lag("seq").over(key), F.lead("seq").over(key)
@@ -125,7 +125,7 @@ def tree_ids(records: DataFrame) -> DataFrame:
 
 def last_changes(records: DataFrame, snaps: DataFrame) -> DataFrame:
     """root_id, last_change: the earliest snapshot of the run of equal trees that the latest one ends."""
-    t = tree_ids(records).join(snaps, F.col("snapshot_id") == F.col("id"))
+    t = tree_ids(records).join(small(snaps), F.col("snapshot_id") == F.col("id"))
     w = Window.partitionBy("root_id").orderBy("seq")
     marked = t.withColumn("new", ~F.col("tree_id").eqNullSafe(F.lag("tree_id").over(w)))
     return marked.where("new").groupBy("root_id").agg(F.max_by("snapshot_id", "seq").alias("last_change"))
@@ -186,7 +186,7 @@ def restore_plan(wanted: DataFrame, live: DataFrame) -> DataFrame:
     act = F.when(F.col("l.oid").isNull(), "restore").when(F.col("l.oid") == F.col("w.oid"), "keep").otherwise("modify")
     planned = a.join(b, KEY, "left").select(*KEY, act.alias("action"))
     roots = wanted.select("root_id").distinct()
-    gone = live.select(*KEY).join(roots, "root_id", "left_semi").join(wanted.select(*KEY), KEY, "left_anti")
+    gone = live.select(*KEY).join(small(roots), "root_id", "left_semi").join(wanted.select(*KEY), KEY, "left_anti")
     return planned.unionByName(gone.select(*KEY, F.lit("delete").alias("action")))
 
 

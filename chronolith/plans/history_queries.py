@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history as H
 from ..registry import query
+from ..steps import small
 from . import views as V
 
 def _at(snapshot: str) -> str:
@@ -91,7 +92,7 @@ def operation_changes(spark, d):
 def change_log(spark, d):
     ops = V.operations(spark, d).select(F.col("id").alias("op_id"), "kind", F.col("after_snapshot").alias("snapshot_id"))
     changes = H.consecutive_changes(V.file_records(spark, d), V.snapshots(spark, d))
-    return H.status_counts(changes.join(ops, "snapshot_id"), "op_id", "kind")
+    return H.status_counts(changes.join(small(ops), "snapshot_id"), "op_id", "kind")
 
 
 @query(

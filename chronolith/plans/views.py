@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..steps import small
+
 CHUNK = 4096
 SMALL = 4096
 LARGE = 8192
@@ -58,7 +60,7 @@ def file_records(spark: SparkSession, d: str) -> DataFrame:
     live = versions(journal(spark, d)).where("NOT tombstone")
     live = live.withColumn("to", F.coalesce(F.date_sub(F.to_date("until"), 1), last)).where(F.to_date("observed_at") <= F.col("to"))
     each = live.withColumn("day", F.explode(F.sequence(F.to_date("observed_at"), "to")))
-    return each.join(snaps.select("day", F.col("id").alias("snapshot_id")), "day").select("snapshot_id", "root_id", "path", "oid", "size", "mode", "event_id", F.unix_timestamp(F.col("observed_at").cast("timestamp")).alias("modified"))
+    return each.join(small(snaps.select("day", F.col("id").alias("snapshot_id"))), "day").select("snapshot_id", "root_id", "path", "oid", "size", "mode", "event_id", F.unix_timestamp(F.col("observed_at").cast("timestamp")).alias("modified"))
 
 
 def snapshot_records(spark: SparkSession, d: str, created_at) -> DataFrame:

@@ -30,3 +30,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a control table may be broadcast, by count; a row holds a few ids and times, at most 200 bytes.
+FEW = 250_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Marks a narrow table for broadcast if it has at most FEW rows; else leaves the join to shuffle."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
