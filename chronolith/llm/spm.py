@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common as C
+from .workers import lean
 
 MARK = "▁"
 UNIT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -38,8 +39,9 @@ UNKNOWN_PENALTY = 10.0
 #: Bytes, about, of the words that a task remembers, and the longest of them in bytes.
 REMEMBERED = 16 << 20
 SHORT = 48
-#: Characters that are cut together.
+#: Characters that are cut together, and words that are in one table of the recurrence.
 STRETCH = 1 << 20
+TOGETHER = 1 << 13
 
 
 def build_trie(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,10 +255,12 @@ def _cut_short(p: Pieces, raws: list[bytes]) -> list[bytes]:
 
 def _cut(p: Pieces, units: list[str]) -> dict[str, bytes]:
     raws = [u.encode("utf-8", "replace") for u in units]
-    short = [k for k, r in enumerate(raws) if len(r) <= SHORT]
+    # by length, as a table is as wide as its longest word
+    short = sorted((k for k, r in enumerate(raws) if len(r) <= SHORT), key=lambda k: len(raws[k]))
     out = {u: _cut_long(p, r) for u, r in zip(units, raws, strict=True) if len(r) > SHORT}
-    if short:
-        out.update(zip((units[k] for k in short), _cut_short(p, [raws[k] for k in short]), strict=True))
+    for a in range(0, len(short), TOGETHER):
+        some = short[a : a + TOGETHER]
+        out.update(zip((units[k] for k in some), _cut_short(p, [raws[k] for k in some]), strict=True))
     return out
 
 
@@ -346,4 +350,4 @@ def encode_documents(docs: DataFrame, path: str, token_ids: bool = True) -> Data
                 out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(out, names=[s.split()[0] for s in schema.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
