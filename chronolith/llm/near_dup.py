@@ -14,13 +14,16 @@ it has fewer words). Two documents are linked if their sets' Jaccard similarity
    by signature, which leaves the members of pairs that may be similar, then these by full sets. A
    block gives one link for each member and other component, which is all that components need.
 5. A bucket with more than WIDE members outside its largest component holds texts that share a part but
-   are not copies. Its members are banded again: they meet under each further band that they share, then
-   under a third and fourth, until groups are no longer wide. So blocks grow with members, not with their square.
+   are not copies. The members of all such buckets are joined exactly instead, by prefixes of their sets, whatever
+   bands they share. Shingles are ordered by how often they occur, rare ones first; the first shingle that two
+   similar sets share then stands so early in both that what follows can still reach the limit. Members meet under
+   their early shingles, with sizes and places that allow the limit only. A part that all share comes late in the
+   order and brings together only texts with little else, which are similar as a rule; so blocks mostly grow with the
+   links, and with the square only for texts made of several frequent parts, which are compared all the same.
 
 No bucket is brought into one task: blocks have at most BLOCK members a side. A pair at the limit
-escapes all bands with probability (1 - 0.75^4)^32, about 5 in a million; where all its buckets are wide,
-it must share two bands, which it misses with about 8 in 100,000 (three: 6 in 10,000). The signature
-filter, five standard errors below the limit, loses less.
+escapes all bands with probability (1 - 0.75^4)^32, about 5 in a million, whether its buckets are wide or not. The
+signature filter, five standard errors below the limit, loses less (wide buckets: eight, 1 in 10^13).
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; rows without
 doc_id are linked with nothing, have no component_id and are kept; rows that repeat a doc_id, with
@@ -49,9 +52,15 @@ ROWS, BANDS = 4, 32
 MINIMA = ROWS * BANDS
 #: Least estimate of a pair that is confirmed on full sets.
 LEAST = SIMILAR / 100 - 5 * (SIMILAR / 100 * (1 - SIMILAR / 100) / MINIMA) ** 0.5
+#: The same for the members of wide buckets, of which many pairs are compared.
+LOWEST = SIMILAR / 100 - 8 * (SIMILAR / 100 * (1 - SIMILAR / 100) / MINIMA) ** 0.5
 BLOCK = 256
-#: Members outside the largest component beyond which a group is banded again, and the most bands of a group.
-WIDE, DEEPEST = 2048, 4
+#: Members outside the largest component beyond which a bucket is joined by prefixes.
+WIDE = 2048
+#: Counters of shingles; those that share one are ordered by their hash.
+SLOTS = 2**20
+#: Least sizes of the classes in which sets meet.
+EDGES = np.unique((1.05 ** np.arange(600)).astype(np.int64))
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(0, 2**64, MINIMA, np.uint64) | np.uint64(1)
@@ -161,6 +170,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
 
+KIND = "key bigint, i int, j int, side int, id bigint, comp bigint"
 MEMBER = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("id", pa.int64()), ("comp", pa.int64())])
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -190,14 +200,13 @@ def _by_block(compare, schema: pa.Schema):
 def _suspects(t: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
     """The members of a block that are in a pair of two components that may be similar by signature.
 
-    A pair that shares several bands counts in the first of them only.
+    A pair that shares several bands counts in the first of them only; if that is a wide bucket's, both ends are joined by prefixes.
     """
     key = np.uint64(t.column(0)[0].as_py() % 2**64)
     side, comp = t.column(3).to_numpy(), t.column(5).to_numpy()
     sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(-1, MINIMA)
     bands = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(-1, BANDS)
-    found = np.flatnonzero(bands[0] == key)
-    band = int(found[0]) if len(found) else 0  # a group of several bands leaves nothing to an earlier one
+    band = int(np.flatnonzero(bands[0] == key)[0])
     u, v = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     wanted = np.zeros(len(side), bool)
     for a in range(0, len(u) if len(v) else 0, 32):
@@ -211,6 +220,56 @@ def _suspects(t: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([t.column(i).combine_chunks().take(rows) for i in range(6)], schema=schema)
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the sets fall into each slot."""
+    n = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        n += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) % np.uint64(SLOTS), minlength=SLOTS)
+    for part in np.array_split(np.flatnonzero(n), 32):
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(n[part])], names=["slot", "n"])
+
+
+def _early(counts):
+    """The shingles of each set that can be the first one shared with a similar set, rare ones first.
+
+    After the ``i`` shingles before it, n - i are left to share; so a similar set has ``most`` shingles at most.
+    ``low`` to ``high`` are the size classes of such sets that are not larger than this one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        for batch in batches:
+            full = batch.column(2).to_pylist()
+            size = np.array([len(x) // 8 for x in full], np.int64)
+            s, doc = np.frombuffer(b"".join(full), np.uint64), np.repeat(np.arange(len(size)), size)
+            k = often[s % np.uint64(SLOTS)]
+            order = np.lexsort((s, k, doc))
+            s, k, n = s[order], k[order], size[doc]
+            i = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
+            most, least = (100 + SIMILAR) * (n - i) // SIMILAR - n, -(-SIMILAR * n // 100)
+            good = np.flatnonzero((most >= least) & (k > 1))  # one that occurs once is not shared
+            n, most, least, doc = n[good], most[good], least[good], pa.array(doc[good])
+            low, high = (np.searchsorted(EDGES, x, side="right").astype(np.int32) for x in (least, np.minimum(most, n)))
+            yield pa.RecordBatch.from_arrays([pa.array(s[good].view(np.int64)), batch.column(0).take(doc), batch.column(1).take(doc), pa.array(n), pa.array(most), pa.array(low), pa.array(high)], names=["shingle", "id", "comp", "n", "most", "low", "high"])
+
+    return run
+
+
+def _early_suspects(t: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
+    """The members of a block of early shingles that are in a pair of two components that may be similar by size, place and signature."""
+    side, ids, comp, n, most = (t.column(i).to_numpy() for i in (3, 4, 5, 6, 7))
+    sig = np.frombuffer(b"".join(t.column(8).to_pylist()), np.uint16).reshape(-1, MINIMA)
+    u, v = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    wanted = np.zeros(len(side), bool)
+    for k in u if len(v) else []:
+        x = v[(comp[v] != comp[k]) & (n[v] <= most[k]) & (n[k] <= most[v]) & ((n[k] < n[v]) | ((n[k] == n[v]) & (ids[k] < ids[v])))]
+        x = x[(sig[x] == sig[k]).mean(axis=1) >= LOWEST] if len(x) else x
+        wanted[x] = True
+        wanted[k] = len(x) > 0
+    rows = pa.array(np.flatnonzero(wanted))
+    return pa.RecordBatch.from_arrays([t.column(i).combine_chunks().take(rows) for i in range(6)], schema=schema)
+
+
 def _links(t: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
     """Between the sides of a block, for each member and component of the other side one similar pair, by full sets."""
     side, ids, comp = (t.column(i).to_numpy() for i in (3, 4, 5))
@@ -287,28 +346,66 @@ def classes(docs: DataFrame) -> DataFrame:
     return found.join(names.select(F.col("number").alias("of_number"), F.col("of_id").alias("component")), F.col("component_id") == F.col("of_number"), "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
-def _mixed_groups(label: DataFrame, members: DataFrame) -> DataFrame:
-    """key, rep, comp, main, rest, all: members (key, rep, comp) of groups of several components, banded again while too wide.
+def _mixed_groups(label: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Of ``label`` (key, rep, comp) the groups of several components, and the members (id, comp) of those that are wide, if any.
+
+    Groups have the columns key, rep, comp, main, rest, all: ``main`` is a group's largest component, ``rest`` and ``all``
+    are its blocks outside of it and in all. Every member of a group is in the first table or in the second.
+    """
+    c = F.col
+    size = label.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy(c("key").alias("k")).agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"))
+    size = C.materialize(size.where("comps > 1").select("k", "main", "n", (c("n") - c("top")).alias("apart")), "near-mixed")
+    blocks = size.where(c("apart") <= WIDE).select("k", "main", F.ceil(c("apart") / BLOCK).cast("int").alias("rest"), F.ceil(c("n") / BLOCK).cast("int").alias("all"))
+    groups = label.join(C.join_side(blocks), c("key") == c("k")).select("key", "rep", "comp", "main", "rest", "all")
+    wide = size.where(c("apart") > WIDE).select("k")
+    if wide.isEmpty():
+        return groups, None
+    found = label.join(C.join_side(wide), c("key") == c("k"), "left_semi").select(c("rep").alias("id"), "comp").distinct()
+    return groups, C.materialize(found, "near-wide")
+
+
+def _linked(suspects: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links (a, b) between the sides of the blocks of ``suspects``."""
+    blocks = suspects.join(nodes.select("id", "full"), "id").select("key", "i", "j", "side", "id", "comp", "full").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return C.materialize(blocks.mapInArrow(lean(_by_block(_links, PAIR)), "a bigint, b bigint").distinct(), "near-links")
 
-    ``main`` is a group's largest component, ``rest`` and ``all`` are its blocks outside of it and in all.
+
+def _prefix_links(wide: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all components of ``wide`` (id, comp) that have a similar pair, by early shingles.
+
+    A pair meets in the size class of its smaller set (side 0), which the larger one (side 1) visits.
     """
     c = F.col
-    out, groups = None, label.withColumn("used", F.array("key"))
-    for depth in range(1, DEEPEST + 1):
-        size = groups.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy(c("key").alias("k")).agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps"))
-        size = C.materialize(size.where("comps > 1").select("k", "main", "n", (c("n") - c("top")).alias("apart")), "near-mixed")
-        blocks = size.select("k", "main", "apart", F.ceil(c("apart") / BLOCK).cast("int").alias("rest"), F.ceil(c("n") / BLOCK).cast("int").alias("all"))
-        wide = size.where(c("apart") > WIDE).select("k")
-        last = depth == DEEPEST or wide.isEmpty()
-        now = groups.join(C.join_side(blocks if last else blocks.where(c("apart") <= WIDE)), c("key") == c("k")).select("key", "rep", "comp", "main", "rest", "all")
-        out = now if out is None else out.unionByName(now)
-        if last:
-            return out
-        again = groups.join(C.join_side(wide), c("key") == c("k"), "left_semi").select("rep", "comp", "used")
-        other = members.select(c("rep").alias("of"), c("key").alias("other")).distinct()
-        more = again.join(other, c("rep") == c("of")).where(~F.array_contains("used", c("other")))
-        more = more.select("rep", "comp", F.array_sort(F.array_append("used", c("other"))).alias("used")).distinct()
-        groups = C.materialize(more.select(F.xxhash64("used").alias("key"), "rep", "comp", "used"), "near-banded")
+    sets = nodes.join(C.join_side(wide), "id").select("id", "comp", "full")
+    counted = sets.select("full").mapInArrow(lean(_counts), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    often = wide.sparkSession.sparkContext.broadcast(often)
+    early = C.materialize(sets.mapInArrow(lean(_early(often)), "shingle bigint, id bigint, comp bigint, n bigint, most bigint, low int, high int"), "near-early")
+    often.destroy()
+    mixed = early.groupBy(c("shingle").alias("s")).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("s")
+    early = early.join(C.join_side(C.materialize(mixed, "near-mixed")), c("shingle") == c("s"), "left_semi")
+    met = early.withColumn("at", F.explode(F.sequence("low", "high"))).withColumn("side", F.lit(1))
+    met = met.unionByName(early.where("most >= n").withColumn("at", c("high")).withColumn("side", F.lit(0)))
+    met = C.materialize(met.select("shingle", "at", "side", "id", "comp", "n", "most"), "near-met")
+
+    size = met.groupBy(c("shingle").alias("s"), c("at").alias("t"), "comp").agg(F.count_if(c("side") == 0).alias("u"), F.count_if(c("side") == 1).alias("v"))
+    size = size.groupBy("s", "t").agg(F.sum("u").alias("u"), F.sum("v").alias("v"), F.count("*").alias("comps"), F.max_by(F.struct("comp", "u", "v"), F.struct(c("u") + c("v"), "comp")).alias("top")).where("comps > 1 AND u > 0 AND v > 0")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    # in part 0 those outside the largest component meet all, in part 1 those in it meet those outside
+    parts = [F.struct(blocks(c("u") - c("top.u")).alias("rest"), blocks(c("v")).alias("all")), F.struct(blocks(c("top.u")).alias("rest"), blocks(c("v") - c("top.v")).alias("all"))]
+    size = C.materialize(size.select("s", "t", c("top.comp").alias("main"), F.array(*parts).alias("parts")), "near-mixed")
+    outside = c("comp") != c("main")
+    mine = F.when(c("side") == 0, F.when(outside, F.array(F.lit(0))).otherwise(F.array(F.lit(1)))).when(outside, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    at = met.join(C.join_side(size), (c("shingle") == c("s")) & (c("at") == c("t"))).withColumn("part", F.explode(mine))
+    at = at.withColumn("blocks", F.element_at("parts", c("part") + 1)).select(F.xxhash64("shingle", "at", "part").alias("key"), "side", "id", "comp", "n", "most", c("blocks.rest").alias("rest"), c("blocks.all").alias("all")).where("rest > 0 AND all > 0")
+    spot = F.pmod(F.xxhash64("id", "key"), F.lit(2**31))
+    u = at.where("side = 0").withColumn("i", (spot % c("rest")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), c("all") - 1)))
+    v = at.where("side = 1").withColumn("j", (spot % c("all")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), c("rest") - 1)))
+    names = ["key", "i", "j", "side", "id", "comp", "n", "most"]
+    laid = u.select(*names).unionByName(v.select(*names)).join(nodes.select("id", "sig"), "id").select(*names, "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    suspects = C.materialize(laid.mapInArrow(lean(_by_block(_early_suspects, MEMBER)), KIND), "near-suspects")
+    return _linked(suspects, nodes)
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -340,16 +437,16 @@ def _classes(docs: DataFrame) -> DataFrame:
     stars = components(_confirm(asked, nodes).unionByName(repeated))
 
     label = members.join(C.join_side(stars), c("rep") == c("id"), "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    at = _mixed_groups(label, members).join(nodes.select(c("id").alias("rep"), "sig", "bands"), "rep")
+    groups, wide = _mixed_groups(label)
+    at = groups.join(nodes.select(c("id").alias("rep"), "sig", "bands"), "rep")
     spot = F.pmod(F.xxhash64("rep", "key"), F.lit(2**31))
     u = at.where("comp <> main").withColumn("i", (spot % c("rest")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), c("all") - 1)).alias("j"), F.lit(0).alias("side"))
     v = at.withColumn("j", (spot % c("all")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), c("rest") - 1)).alias("i"), F.lit(1).alias("side"))
     names = ["key", "i", "j", "side", c("rep").alias("id"), "comp", "sig", "bands"]
     blocks = u.select(*names).unionByName(v.select(*names)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    kind = "key bigint, i int, j int, side int, id bigint, comp bigint"
-    suspects = C.materialize(blocks.mapInArrow(lean(_by_block(_suspects, MEMBER)), kind), "near-suspects")
-    blocks = suspects.join(nodes.select("id", "full"), "id").select("key", "i", "j", "side", "id", "comp", "full").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = C.materialize(blocks.mapInArrow(lean(_by_block(_links, PAIR)), "a bigint, b bigint").distinct(), "near-links")
+    found = _linked(C.materialize(blocks.mapInArrow(lean(_by_block(_suspects, MEMBER)), KIND), "near-suspects"), nodes)
+    if wide is not None:
+        found = found.unionByName(_prefix_links(wide, nodes))
     if not found.isEmpty():
         stars = components(stars.select(c("id").alias("a"), c("comp").alias("b")).unionByName(found))
 

@@ -577,6 +577,45 @@ def test_near_dedup_bands_wide_groups_again(spark, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in near_dup.classes(d).collect()} == jaccard_components(rows)
 
 
+def one_shared_band():
+    """Documents 2 and 3 are at the limit and share one band only, which document 1, a part of both, shares too."""
+    common = [f"c{k}" for k in range(100)]
+    own = lambda x, k: [f"{x}{i}" for i in range(k, k + 16)]
+    return [(1, " ".join(common[35:85])), (2, " ".join(common + own("a", 87))), (3, " ".join(common + own("b", 50)))]
+
+
+def test_near_dedup_finds_a_pair_that_shares_one_wide_band_only(spark, monkeypatch):
+    rows = one_shared_band()
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    bands = [set(r.bands) for r in near_dup.word_hashes(d).mapInArrow(near_dup._sketch, "doc_id bigint, n bigint, d1 bigint, d2 bigint, bands array<bigint>").orderBy("doc_id").collect()]
+    assert len(bands[1] & bands[2]) == 1 and bands[1] & bands[2] <= bands[0]
+    monkeypatch.setattr(near_dup, "WIDE", 1)
+    assert {r.doc_id: r.component_id for r in near_dup.classes(d).collect()} == {1: 1, 2: 2, 3: 2}
+
+
+def test_near_dedup_joins_wide_groups_of_any_mixture(spark, monkeypatch):
+    """A shared part and own parts of all sizes, passages of a pool, and edits: many pairs just above and below the limit."""
+    import random
+
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(60)]
+    pool = [[f"s{i}x{k}" for k in range(12)] for i in range(12)]
+    rows = []
+    for i in range(160):
+        words = common + [f"o{i}x{k}" for k in range(rng.randrange(40))]
+        if i % 4 == 0:
+            words = [w for p in pool if rng.random() < 0.8 for w in p] + [f"o{i}"]
+        if i % 7 == 0:
+            words[rng.randrange(len(words))] = "edit"
+        rows.append((i, " ".join(words)))
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(near_dup, "WIDE", 4)
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    want = jaccard_components(rows)
+    assert 10 < len({x[1] for x in want.values()}) < 150
+    assert {r.doc_id: tuple(r)[1:] for r in near_dup.classes(d).collect()} == want
+
+
 def test_null_ids_are_linked_with_nothing(spark):
     d = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (4, "a b c d e f g")], "doc_id bigint, text string")
     got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dup.classes(d).collect())
