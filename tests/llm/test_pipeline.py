@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from chronolith.llm import line_dedup, spm
+from chronolith.llm import line_dedup, near_dup, spm
 
 from .conftest import SCHEMA, make_docs
-from .test_operators import MODEL, WORD, WORD7, jaccard_components, low, plain_fences
+from .test_operators import MODEL, WORD, WORD7, jaccard_components, low, one_shared_band, plain_fences
 
 
 def plain_pipeline(rows, bench):
@@ -66,3 +66,9 @@ def test_stages_keep_the_columns_of_documents(spark, folder):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "sentencepiece"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns
+
+
+def test_near_dedup_stage_drops_a_copy_that_shares_one_wide_band_only(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "WIDE", 1)
+    docs = spark.createDataFrame(one_shared_band(), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]
