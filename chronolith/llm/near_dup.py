@@ -12,7 +12,7 @@ it has fewer words). Two documents are linked if their sets' Jaccard similarity
 4. Pairs whose ends are already connected can add nothing. Buckets that still hold several
    components are compared in blocks, all outside the bucket's largest component against all: first
    by signature, which leaves the members of pairs that may be similar, then these by full sets. A
-   block gives one link for each member and other component, which is all that components need.
+   block gives one link for each two components, which is all that components need.
 5. A bucket with more than WIDE members outside its largest component holds texts that share a part but
    are not copies. The members of all such buckets are joined exactly instead, by prefixes of their sets, whatever
    bands they share. Shingles are ordered by how often they occur, rare ones first; the first shingle that two
@@ -271,11 +271,11 @@ def _early_suspects(t: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _links(t: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
-    """Between the sides of a block, for each member and component of the other side one similar pair, by full sets."""
+    """Between the sides of a block one similar pair for each two components that have any, by full sets."""
     side, ids, comp = (t.column(i).to_numpy() for i in (3, 4, 5))
     full = [np.frombuffer(x, np.uint64) for x in t.column(6).to_pylist()]
     u, v = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    a, b = [], []
+    a, b, joined = [], [], set()
     if len(u) and len(v):
         sizes = np.array([len(full[k]) for k in v])
         every = np.concatenate([full[k] for k in v])
@@ -292,8 +292,11 @@ def _links(t: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
             both = np.bincount(owner[hits], minlength=len(v))
             good = np.flatnonzero((100 * both >= SIMILAR * (len(full[k]) + sizes - both)) & (comp[v] != comp[k]))
             _, one = np.unique(comp[v[good]], return_index=True)
-            a += [ids[k]] * len(one)
-            b += ids[v[good[one]]].tolist()
+            for w in v[good[one]]:
+                if (two := (comp[k], comp[w])) not in joined:
+                    joined.add(two)
+                    a.append(ids[k])
+                    b.append(ids[w])
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
 
