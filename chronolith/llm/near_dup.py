@@ -201,12 +201,13 @@ def _suspects(t: pa.Table, schema: pa.Schema) -> pa.RecordBatch:
     """The members of a block that are in a pair of two components that may be similar by signature.
 
     A pair that shares several bands counts in the first of them only; if that is a wide bucket's, both ends are joined by prefixes.
+    A doc_id with several texts has a row for each, of which some may not have the block's band.
     """
     key = np.uint64(t.column(0)[0].as_py() % 2**64)
     side, comp = t.column(3).to_numpy(), t.column(5).to_numpy()
     sig = np.frombuffer(b"".join(t.column(6).to_pylist()), np.uint16).reshape(-1, MINIMA)
     bands = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint64).reshape(-1, BANDS)
-    band = int(np.flatnonzero(bands[0] == key)[0])
+    band = int(np.nonzero(bands == key)[1][0])
     u, v = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     wanted = np.zeros(len(side), bool)
     for a in range(0, len(u) if len(v) else 0, 32):

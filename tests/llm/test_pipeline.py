@@ -72,3 +72,14 @@ def test_near_dedup_stage_drops_a_copy_that_shares_one_wide_band_only(spark, mon
     monkeypatch.setattr(near_dup, "WIDE", 1)
     docs = spark.createDataFrame(one_shared_band(), "doc_id bigint, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]
+
+
+@pytest.mark.parametrize("wide", [2048, 2])
+def test_near_dedup_stage_takes_a_doc_id_with_several_texts_in_a_mixed_group(spark, monkeypatch, wide):
+    """Texts with a common part, no copies but the last one, share buckets; every doc_id has a text outside of them too."""
+    common = [f"c{k}" for k in range(60)]
+    texts = [" ".join(common + [f"o{i}x{k}" for k in range(26)]) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i, " ".join(f"a{i}x{k}" for k in range(30))) for i in range(12)] + [(12, texts[5] + " tail")]
+    monkeypatch.setattr(near_dup, "WIDE", wide)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(12))
